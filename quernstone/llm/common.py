@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side of a join is broadcast only after its rows have been counted, up to this.
@@ -86,3 +87,17 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The strings of a column; null is empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def only(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of docs whose doc_id is among the distinct ids, or with keep=False
+    is not. ids are broadcast if there are few enough, by a count."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi" if keep else "left_anti").select(*docs.columns)
+
+
+def own_prefix(df: DataFrame) -> str:
+    """A prefix with which no column of df begins."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix

@@ -50,4 +50,29 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op6_ngram_jaccard": OP6, "op9_line_dedup": OP9}
+_KINDS = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+]
+_CUTS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {group} AS grp, {least} AS least, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}', {group}) AS g FROM doc"
+    for k, (kind, p, group, least) in enumerate((kind, p.replace("'", "''"), g, n) for kind, p, g, n in _KINDS)
+)
+OP5 = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+cut AS ({_CUTS}),
+match AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM cut WHERE len(list_filter(g, lambda x: length(x) >= least)) > 0),
+span AS (
+  SELECT doc_id, k, kind, list_sum(list_transform(b[1:i], lambda x: length(x))) + list_sum(list_transform(f[1:i], lambda x: length(x))) AS stop, length(f[i]) AS n
+  FROM match WHERE length(g[i]) >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || (stop - n)::BIGINT::VARCHAR || ':' || stop::BIGINT::VARCHAR, ',' ORDER BY stop - n, k) AS spans
+  FROM span GROUP BY doc_id)
+SELECT doc.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op5_secret_scan": OP5, "op6_ngram_jaccard": OP6, "op9_line_dedup": OP9}

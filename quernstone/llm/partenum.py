@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import BROADCAST_ROWS, append_columns, raw_texts, stored
+from quernstone.llm.common import append_columns, only, raw_texts, stored
 from quernstone.llm.fastbytes import PowerTable, mixed, shingle_hashes
 from quernstone.llm.graph import components
 
@@ -162,11 +162,6 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return append_columns(docs, SETS, make, ("text",))
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, which is broadcast if counted small."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-
 BLOBS = "bucket int, ids binary, counts binary, signatures binary"
 
 
