@@ -68,12 +68,12 @@ def vocab_hash(vocab: DataFrame) -> DataFrame:
 
 
 def unigram_floor(train: DataFrame, val: DataFrame) -> DataFrame:
-    """One row: cross-entropy of val tokens under add-one smoothed train counts."""
+    """One row: cross-entropy of val tokens under add-one smoothed train counts; null without val tokens."""
     counts = lambda df, name: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(name))
     both = counts(train, "t").join(counts(val, "v"), "token", "full").na.fill(0, ["t", "v"])
     total = both.agg(F.sum("t").alias("all"), F.count("*").alias("kinds"))  # one row
     p = (F.col("t") + 1) / (F.col("all") + F.col("kinds"))
-    return both.crossJoin(F.broadcast(total)).agg((-F.sum(F.col("v") * F.log(p)) / F.sum("v")).alias("nats"), F.sum("v").alias("tokens"), F.max("kinds").alias("kinds"))
+    return both.crossJoin(F.broadcast(total)).agg(F.try_divide(-F.sum(F.col("v") * F.log(p)), F.sum("v")).alias("nats"), F.sum("v").alias("tokens"), F.max("kinds").alias("kinds"))
 
 
 def save(vocab: DataFrame, path: str, min_functions: int, source: dict) -> None:

@@ -291,7 +291,7 @@ def vocab_hash(spark, d):
     "unigram_floor",
     """WITH first AS (SELECT arg_min(tokens, function_id) AS tokens, arg_min(package, function_id) AS package FROM eligible GROUP BY content),
     t AS (SELECT token, count(*) FILTER (length(package) % 3 = 0) AS t, count(*) FILTER (length(package) % 3 = 1) AS v FROM (SELECT package, unnest(tokens) AS token FROM first) GROUP BY token HAVING t + v > 0)
-    SELECT round(-sum(v * ln((t + 1) / (SELECT sum(t) + count(*) FROM t))) / sum(v), 9) AS nats, sum(v)::BIGINT AS tokens, count(*) AS kinds FROM t""",
+    SELECT round(-sum(v * ln((t + 1) / (SELECT sum(t) + count(*) FROM t))) / nullif(sum(v), 0), 9) AS nats, sum(v)::BIGINT AS tokens, count(*) AS kinds FROM t""",
     "eligible",
 )
 def unigram_floor(spark, d):
