@@ -101,3 +101,15 @@ def own_prefix(df: DataFrame) -> str:
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix = f"_{prefix}"
     return prefix
+
+
+def least_hashed(rows: DataFrame, total: int, n: int, *ties: str) -> DataFrame:
+    """The n rows with the least xxhash64 of doc_id, then by ties, of about total.
+
+    Only rows below a threshold that twice as many should pass are sorted, so what
+    tasks send to be merged is bounded by n and not by their number.
+    """
+    h = F.xxhash64("doc_id")
+    if total > 4 * n:
+        rows = rows.where(h < -(1 << 63) + int((1 << 64) * (2 * n / total)))
+    return rows.orderBy(h, *ties).limit(n)

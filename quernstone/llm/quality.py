@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, raw_texts
+from quernstone.llm.common import append_columns, least_hashed, raw_texts
 from quernstone.llm.fastbytes import PowerTable, word_hashes
 from quernstone.llm.langid import HELD_OUT, fold
 
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     held-out fold, those with the least xxhash64 of the id. Their whole texts
     count; only their features reach the driver."""
     chosen = labels.where((fold() != HELD_OUT) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "label").limit(settings.samples)
+    chosen = least_hashed(chosen, chosen.count(), settings.samples, "label")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     buckets = settings.buckets
 
