@@ -242,10 +242,10 @@ def measurement_history(spark, d):
     return store.history(tables(spark, d)["measurements"], method="bm25").select("id", "method")
 
 
-@query("find_functions", "SELECT function_id, package, opt_level, name FROM eligible WHERE package = 'FRANCE' AND opt_level = 'O0'", "eligible")
+@query("find_functions", "SELECT function_id, package, opt_level, name FROM eligible WHERE package = 'NATION_3' AND opt_level = 'O0'", "eligible")
 def find_functions(spark, d):
 
-    return find(fn(spark, d), package="FRANCE", opt_level="O0", eligible=eligible(spark, d)).select("function_id", "package", "opt_level", "name")
+    return find(fn(spark, d), package="NATION_3", opt_level="O0", eligible=eligible(spark, d)).select("function_id", "package", "opt_level", "name")
 
 
 @query("sample_functions", "SELECT function_id FROM fn ORDER BY md5('1:' || function_id), function_id LIMIT 100", "fn")

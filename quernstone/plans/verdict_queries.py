@@ -1 +1,252 @@
-"""Queries."""
+"""Queries of the verdict algebra, over outcomes made of line items by arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import calling, fill
+from quernstone.operators import verdict
+from quernstone.plans.bindings import NEEDS, SQL, fn, table
+from quernstone.plans.catalogue import query
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """A case for each line number of an order and each fill."""
+    line = table(spark, d, "lineitem")
+    per = line.groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("input_idx")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min(F.col("l_quantity").cast("long")).alias("q"))
+    return per.withColumn("variant", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    every = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(seed).alias("seed")) for side, seed in verdict.RUNS])
+    rows = cases(spark, d).withColumn("r", F.explode(every)).select("*", "r.side", "r.seed").drop("r")
+    k, b = (F.col("side") == "K").cast("long"), (F.col("seed") == "B").cast("long")
+    code = F.col("p") + 3 * F.col("variant") + 5 * k + 7 * b
+    status = F.when(code % 23 == 0, "fault").when(code % 29 == 1, "budget_exhausted").when(code % 31 == 2, "import_without_stub").otherwise("completed")
+    ret = F.col("p") % 4 + k * F.when(F.col("s") % 3 == 0, 256).otherwise(0) + b * F.when(F.col("s") % 7 == 0, 1).otherwise(0)
+    return rows.select(*verdict.CASE, "side", "seed", status.alias("status"), ret.alias("ret_int"), (F.col("p") % 17 == 0).alias("invented"))
+
+
+def returns(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id")).distinct()
+    kind = F.when(F.col("pair_id") % 4 == 1, "void").when(F.col("pair_id") % 4 == 2, "pointer").otherwise("int")
+    size = F.when(F.col("pair_id") % 4 == 0, 1).when(F.col("pair_id") % 4 == 3, 4)
+    rows = pairs.withColumn("kind", kind).withColumn("size", size)
+    return rows.select("pair_id", "kind", "size", calling.return_mask(F.col("kind"), F.col("size")).alias("mask"))
+
+
+def memory(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).select(*verdict.CASE, (F.col("q") % 5).cast("int").alias("compared_bytes"), ((F.col("p") % 19 == 0) & (F.col("q") % 5 > 0)).alias("differs"))
+
+
+def effect(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).where("s % 13 = 4").select(*verdict.CASE, F.lit("calls a compiler cannot add or remove differ").alias("effect"))
+
+
+def judged(spark, d):
+    return verdict.judge_inputs(outcomes(spark, d), returns(spark, d), memory(spark, d), effect(spark, d))
+
+
+def combined(spark, d):
+    return verdict.combine_variants(judged(spark, d))
+
+
+def forced(spark, d):
+    return returns(spark, d).where("pair_id % 5 = 0").select("pair_id", F.lit(verdict.SURVIVED).alias("verdict"))
+
+
+def compared(spark, d):
+    return verdict.compare(combined(spark, d), forced(spark, d))
+
+
+_RUN = lambda k, b: f"CASE WHEN (p + 3 * variant + {5 * k + 7 * b}) % 23 = 0 THEN 'fault' WHEN (p + 3 * variant + {5 * k + 7 * b}) % 29 = 1 THEN 'budget_exhausted' WHEN (p + 3 * variant + {5 * k + 7 * b}) % 31 = 2 THEN 'import_without_stub' ELSE 'completed' END"
+_RET = lambda k, b: f"(p % 4 + {k} * CASE WHEN s % 3 = 0 THEN 256 ELSE 0 END + {b} * CASE WHEN s % 7 = 0 THEN 1 ELSE 0 END)"
+_CELLS = [("qa", "Q", 0, 0), ("qb", "Q", 0, 1), ("ka", "K", 1, 0), ("kb", "K", 1, 1)]
+SQL |= {
+    "cases": "SELECT pair_id, input_idx, unnest([0, 1])::INT AS variant, p, s, q FROM (SELECT l_orderkey AS pair_id, l_linenumber AS input_idx, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL)",
+    "wide": "SELECT *, " + ", ".join(f"{_RUN(k, b)} AS st_{c}, {_RET(k, b)} & mask AS v_{c}" for c, _, k, b in _CELLS) + ", p % 17 = 0 AS invented, (q % 5)::INT AS bytes, p % 19 = 0 AND q % 5 > 0 AS differs, s % 13 = 4 AS effect FROM cases JOIN returns USING (pair_id)",
+    "returns": "SELECT *, CASE WHEN kind IN ('void', 'pointer') THEN 0 WHEN size = 1 THEN 255 ELSE 4294967295 END::BIGINT AS mask FROM (SELECT DISTINCT l_orderkey AS pair_id, CASE l_orderkey % 4 WHEN 1 THEN 'void' WHEN 2 THEN 'pointer' ELSE 'int' END AS kind, CASE l_orderkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 4 END AS size FROM lineitem)",
+    "facts": "SELECT *, kind = 'int' AND (v_qa <> v_qb OR v_ka <> v_kb) AS moved, kind = 'int' AND v_qa <> v_ka AS apart, "
+    + "CASE " + " ".join(f"WHEN st_{c} <> 'completed' THEN '{s} ' || st_{c}" for c, s, _, _ in _CELLS) + " END AS stopped, "
+    + "CASE " + " ".join(f"WHEN st_{c} <> 'completed' THEN st_{c}" for c, _, _, _ in _CELLS) + " END AS status FROM wide",
+    "judged": """SELECT pair_id, input_idx, variant, bytes AS compared_bytes, NOT moved AND kind = 'int' AS saw_return, status, r[1] AS verdict, r[2] AS reason FROM (SELECT *, CASE
+      WHEN stopped IS NOT NULL THEN ['inconclusive', stopped]
+      WHEN NOT moved AND apart AND invented THEN ['inconclusive', 'differs, but a run read invented memory']
+      WHEN NOT moved AND apart THEN ['refuted', 'return value differs']
+      WHEN differs AND (invented OR moved) THEN ['inconclusive', 'differs, but a run read invented memory']
+      WHEN differs THEN ['refuted', 'written memory differs']
+      WHEN effect AND NOT (invented OR moved) THEN ['refuted', 'calls a compiler cannot add or remove differ']
+      WHEN moved THEN ['inconclusive', 'return depended on the fill']
+      WHEN kind <> 'int' AND bytes = 0 THEN ['inconclusive', 'neither produced anything observable']
+      ELSE ['survived', 'agreed on this input'] END AS r FROM facts)""",
+    "combined": """SELECT pair_id, input_idx, CASE WHEN r = n THEN 'refuted' WHEN r > 0 THEN 'inconclusive' WHEN s > 0 THEN 'survived' ELSE v1 END AS verdict,
+      CASE WHEN r = n THEN rr WHEN r > 0 THEN 'refuted under some fills only' WHEN s > 0 THEN rs ELSE r1 END AS reason, CASE WHEN r = 0 AND s = 0 THEN s1 END AS status
+      FROM (SELECT pair_id, input_idx, count(*) AS n, count(*) FILTER (verdict = 'refuted') AS r, count(*) FILTER (verdict = 'survived') AS s, arg_min(verdict, variant) AS v1, arg_min(reason, variant) AS r1,
+        max(status) FILTER (variant = 0) AS s1, arg_min(reason, variant) FILTER (verdict = 'refuted') AS rr, arg_min(reason, variant) FILTER (verdict = 'survived') AS rs FROM judged GROUP BY ALL)""",
+    "compared": """SELECT pair_id, CASE WHEN hit IS NOT NULL THEN 'refuted' WHEN s > 0 OR pair_id % 5 = 0 THEN 'survived' ELSE 'inconclusive' END AS verdict, coalesce(why, '') AS reason,
+      hit IS NULL AND s = 0 AND pair_id % 5 = 0 AS forced_only, (CASE WHEN hit IS NULL THEN n ELSE len(list_filter(ord, lambda i: i <= hit)) END)::INT AS inputs
+      FROM (SELECT pair_id, min(input_idx) FILTER (verdict = 'refuted') AS hit, arg_min(reason, input_idx) FILTER (verdict = 'refuted') AS why, count(*) FILTER (verdict = 'survived') AS s, count(*) AS n, list(input_idx) AS ord FROM combined GROUP BY pair_id)""",
+    "buckets": """SELECT pair_id, CASE WHEN forced_only THEN 'completed_forced' WHEN verdict <> 'inconclusive' THEN 'completed' WHEN status IS NULL THEN 'unjudged' ELSE CASE status WHEN 'budget_exhausted' THEN 'budget' WHEN 'import_without_stub' THEN 'import_missing' ELSE status END END AS bucket,
+      CASE verdict WHEN 'refuted' THEN 'disagreed' WHEN 'survived' THEN 'agreed' END AS agreement
+      FROM compared LEFT JOIN (SELECT pair_id, arg_max(status, lpad(n::VARCHAR, 20, '0') || status) AS status FROM (SELECT pair_id, status, count(*) AS n FROM combined WHERE status IS NOT NULL GROUP BY ALL) GROUP BY pair_id) USING (pair_id)""",
+    "settle": "SELECT pair_id, input_idx, bool_and(good) AS comparable, bool_and(good AND v_qa <> v_ka) AS differs FROM (SELECT *, st_qa = 'completed' AND st_qb = 'completed' AND st_ka = 'completed' AND st_kb = 'completed' AND NOT invented AND v_qa = v_qb AND v_ka = v_kb AS good FROM wide) GROUP BY ALL",
+}
+NEEDS |= {"wide": ["cases", "returns"], "facts": ["wide"], "judged": ["facts"], "combined": ["judged"], "compared": ["combined"], "buckets": ["compared"], "settle": ["wide"]}
+
+
+@query("return_mask", "SELECT pair_id, kind, size, mask FROM returns", "returns")
+def return_mask(spark, d):
+    return returns(spark, d)
+
+
+@query("stable_return", "SELECT pair_id, input_idx, variant, CASE WHEN kind <> 'int' THEN kind WHEN v_qa = v_qb THEN 'int:' || v_qa END AS q, CASE WHEN kind <> 'int' THEN kind WHEN v_ka = v_kb THEN 'int:' || v_ka END AS k FROM wide", "wide")
+def stable_return(spark, d):
+    rows = verdict.pivoted(outcomes(spark, d), ["ret_int"]).join(returns(spark, d), "pair_id")
+    side = lambda s: verdict.stable_return(F.col("kind"), F.col("mask"), F.col(f"ret_int_{s}A"), F.col(f"ret_int_{s}B"))
+    return rows.select(*verdict.CASE, side("Q").alias("q"), side("K").alias("k"))
+
+
+@query("judge_inputs", "SELECT * FROM judged", "judged")
+def judge_inputs(spark, d):
+    return judged(spark, d)
+
+
+@query("combine_variants", "SELECT * FROM combined", "combined")
+def combine_variants(spark, d):
+    return combined(spark, d)
+
+
+@query("compare_verdict", "SELECT * FROM compared", "compared")
+def compare_verdict(spark, d):
+    return compared(spark, d)
+
+
+@query("v0_buckets", "SELECT bucket, agreement, count(*) AS pairs FROM buckets GROUP BY ALL", "buckets")
+def v0_buckets(spark, d):
+    c = combined(spark, d)
+    return verdict.v0_buckets(verdict.compare(c, forced(spark, d)), c).groupBy("bucket", "agreement").agg(F.count("*").alias("pairs"))
+
+
+@query("r0_verdicts", "SELECT verdict, count(*) AS pairs, count(*) FILTER (forced_only) AS forced FROM compared GROUP BY verdict", "compared")
+def r0_verdicts(spark, d):
+    return verdict.verdict_counts(compared(spark, d))
+
+
+def _settled(spark, d):
+    rows = outcomes(spark, d).join(returns(spark, d), "pair_id")
+    seen = rows.select(*verdict.CASE, "side", "seed", F.lit("return").alias("observation"), F.col("ret_int").bitwiseAND(F.col("mask")).cast("string").alias("value"))
+    return verdict.settled(outcomes(spark, d), seen)
+
+
+@query("census_observations", "SELECT pair_id, input_idx, 'return' AS observation, comparable, differs FROM settle", "settle")
+def census_observations(spark, d):
+    return _settled(spark, d)
+
+
+@query(
+    "census_aggregate",
+    "SELECT 'return' AS observation, count(*) FILTER (c) AS comparable, count(*) FILTER (d) AS differs, count(*) FILTER (d AND verdict <> 'refuted') AS unrefuted FROM (SELECT pair_id, bool_or(comparable) AS c, bool_or(differs) AS d FROM settle GROUP BY pair_id) JOIN compared USING (pair_id)",
+    "settle",
+    "compared",
+)
+def census_aggregate(spark, d):
+    return verdict.census(_settled(spark, d), compared(spark, d))
+
+
+_KINDS = ["int", "pointer", "struct", "float", "union", "int"]
+_SIZES = [4, 8, 24, 8, 8, 1]
+
+
+def abis(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures from line items: the kind of each parameter by its part."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values)).cast("int") + 1)
+    param = F.struct(pick(_KINDS, F.col("l_partkey")).alias("kind"), pick(_SIZES, F.col("l_partkey")).alias("size"), (F.col("l_suppkey") % 2 == 0).alias("signed"))
+    per = line.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", param.alias("param")))), lambda x: x["param"]).alias("params"))
+    returned = F.struct(pick(_KINDS, F.col("l_orderkey")).alias("kind"), pick(_SIZES, F.col("l_orderkey")).alias("size"), F.lit(True).alias("signed"))
+    return per.select(F.col("l_orderkey").alias("function_id"), F.struct(returned.alias("return"), "params", (F.col("l_orderkey") % 9 == 0).alias("variadic")).alias("abi"))
+
+
+SQL |= {
+    "params": f"SELECT l_orderkey AS function_id, {_KINDS}[(l_partkey % 6 + 1)::INT] AS kind, {_SIZES}[(l_partkey % 6 + 1)::INT]::INT AS size, l_suppkey % 2 = 0 AS signed, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS i, {_KINDS}[(l_orderkey % 6 + 1)::INT] = 'struct' AS hidden FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)",
+}
+
+
+@query(
+    "placement_slots",
+    """SELECT function_id, i + hidden::INT AS position, CASE WHEN i + hidden::INT < 4 THEN (CASE WHEN kind = 'float' THEN 'xmm' ELSE 'int' END) || (i + hidden::INT) END AS register,
+    CASE WHEN i + hidden::INT >= 4 THEN 8 * (i + hidden::INT - 4) END AS stack_offset, kind = 'struct' AS by_reference, CASE WHEN kind IN ('struct', 'pointer') THEN 8 ELSE size END AS size FROM params WHERE function_id % 9 <> 0""",
+    "params",
+)
+def placement_slots(spark, d):
+    placed = abis(spark, d).where(calling.decline_reason(F.col("abi")).isNull())
+    return placed.select("function_id", F.explode(calling.slots(F.col("abi"))).alias("s")).select("function_id", "s.*")
+
+
+@query(
+    "input_vectors",
+    """WITH v AS (SELECT function_id, i, list_distinct_ordered AS vals FROM (SELECT function_id, i, list_filter([0, 1, m, h, l], lambda x, k: list_position([0, 1, m, h, l], x) = k) AS list_distinct_ordered
+      FROM (SELECT *, (1::BIGINT << (size * 8)) - 1 AS m, CASE WHEN signed THEN 1::BIGINT << (size * 8 - 1) ELSE ((1::BIGINT << (size * 8)) - 1) >> 1 END AS h, CASE WHEN signed THEN (1::BIGINT << (size * 8 - 1)) - 1 ELSE 0 END AS l FROM params WHERE kind = 'int')))
+    SELECT function_id, i, array_to_string(vals, ',') AS vals FROM v""",
+    "params",
+)
+def input_vectors(spark, d):
+    """The edges that the integer parameters of each function try."""
+    rows = abis(spark, d).select("function_id", F.posexplode("abi.params").alias("i", "p")).where("p.kind = 'int'")
+    edges = F.slice(calling.boundary_values(F.col("p.size"), F.col("p.signed"), 1, F.col("i")), F.lit(1), F.when(F.col("p.signed"), 5).otherwise(4))
+    return rows.select("function_id", "i", F.array_join(edges.cast("array<string>"), ",").alias("vals"))
+
+
+@query("branch_ranking", "SELECT l_orderkey AS pair_id, count, selectivity, row_number() OVER (PARTITION BY l_orderkey ORDER BY selectivity, count) - 1 AS place FROM (SELECT l_orderkey, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS count, min(abs(l_suppkey - l_linenumber)) AS selectivity FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL)")
+def branch_ranking(spark, d):
+    line = table(spark, d, "lineitem")
+    s = F.when(F.col("l_partkey") % 5 != 0, calling.selectivity(F.col("l_suppkey"), F.col("l_linenumber").cast("long"), F.lit(8)))
+    rows = line.groupBy(F.col("l_orderkey").alias("pair_id"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("count")).agg(F.min(s).alias("selectivity"))
+    return verdict.branch_ranking(rows.withColumn("side", F.lit("Q"))).select("pair_id", "count", "selectivity", F.col("place").cast("long"))
+
+
+@query(
+    "initialiser_match",
+    """WITH f AS (SELECT function_id, package, decl_file, opt_level, n_calls, 'lib' || (function_id % 7) || '_' || (['final', 'init', 'update', 'reset', 'open'])[(n_instructions % 5 + 1)::INT] AS nm FROM fn WHERE decl_file IS NOT NULL),
+    c AS (SELECT *, regexp_extract(nm, '^(.+)_', 1) || '_' || unnest(['init', 'new', 'create', 'setup', 'start', 'open', 'alloc', 'initialize', 'initialise', 'init_static', 'reset']) AS want FROM f WHERE regexp_extract(nm, '_(.+)$', 1) NOT IN ('init', 'reset', 'open'))
+    SELECT c.function_id, min(f.function_id) AS initialiser_id FROM c JOIN f ON f.nm = want AND f.package = c.package AND f.decl_file = c.decl_file AND f.opt_level = c.opt_level AND f.n_calls = c.n_calls GROUP BY c.function_id HAVING count(*) = 1""",
+    "fn",
+)
+def initialiser_match(spark, d):
+    last = F.element_at(F.array(*map(F.lit, ["final", "init", "update", "reset", "open"])), F.col("n_instructions") % 5 + 1)
+    rows = fn(spark, d).where("decl_file IS NOT NULL").withColumn("name", F.concat(F.lit("lib"), (F.col("function_id") % 7).cast("string"), F.lit("_"), last)).withColumn("first_param", F.col("n_calls"))
+    return verdict.initialiser_match(rows.withColumn("candidates", calling.candidate_names(F.col("name"))), rows)
+
+
+@query("garbage_bytes")
+def garbage_bytes(spark, d):
+    """Bytes of one page for each case: eight of seed B moved, two stores over them."""
+    c = cases(spark, d).where("q % 10 = 3")
+    runs = c.withColumn("r", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(e).alias("seed")) for s, e in verdict.RUNS]))).select(*verdict.CASE, "p", "s", "r.side", "r.seed")
+    byte = ((F.col("p") + F.col("offset")) % 256 + F.when((F.col("seed") == "B") & (F.col("offset") == F.col("s") % 16), 1).otherwise(0)).cast("int")
+    writes = runs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(31)))).select(*verdict.CASE, "side", "seed", F.lit(verdict.PAGE).cast("long").alias("page"), "offset", byte.alias("byte"))
+    stores = runs.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).select(*verdict.CASE, "side", "seed", "ord", (F.lit(verdict.PAGE) + 8 * F.col("ord")).cast("long").alias("address"), F.lit(8).alias("size"), F.lit(False).alias("partial"))
+    return verdict.garbage_bytes(writes, stores)
+
+
+@query("foreign_pointer_bytes")
+def foreign_pointer_bytes(spark, d):
+    """A page for each case that holds an address of a foreign region at an offset."""
+    c = cases(spark, d).where("q % 10 = 4")
+    at = F.col("offset") - F.col("s") % 8
+    byte = F.when(at.between(0, 7), F.call_function("shiftright", F.lit(0x1_4000_0000).cast("long") + F.col("p"), (at * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))).otherwise(255).cast("int")
+    rows = c.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("side", F.explode(F.array(F.lit("Q"), F.lit("K"))))
+    return verdict.foreign_pointer_bytes(rows.select(*verdict.CASE, "side", F.lit(0).cast("long").alias("page"), "offset", byte.alias("byte")), [(0x1_4000_0000, 0x1_5000_0000)])
+
+
+@query("fill_origin")
+def fill_origin(spark, d):
+    """Addresses made of words of the fill and a displacement, traced back."""
+    seed = (F.col("l_suppkey") % 3).cast("long")
+    offset = (F.col("l_partkey") * 8) % fill.GAMMA
+    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", seed.alias("seed"), offset.alias("made_of"), fill.fill_value(offset, seed).alias("word"), (F.col("l_orderkey") % 2049 - 1024).alias("moved"))
+    signed = F.when(F.col("word") > 0, F.col("word") - 2000).otherwise(F.col("word") + 2000)  # away from the ends of bigint
+    near = F.when(F.abs("word") < 9_000_000_000_000_000_000, F.col("word") + F.col("moved")).otherwise(signed)
+    found = rows.withColumn("address", near).withColumn("o", fill.fill_origin("address", "seed"))
+    return found.select("l_orderkey", "seed", "address", F.col("o.offset").alias("offset"), F.col("o.displacement").alias("displacement"))
