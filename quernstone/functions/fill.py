@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the fill.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -45,13 +46,16 @@ def origin_of(address: np.ndarray, constant: np.ndarray, reach: int = REACH) ->
     return found, apart
 
 
-@F.pandas_udf("offset long, displacement long")
+_ORIGIN = T.StructType([T.StructField("offset", T.LongType()), T.StructField("displacement", T.LongType())])
+
+
+@F.pandas_udf(_ORIGIN)
 def fill_origin(address: pd.Series, constant: pd.Series) -> pd.DataFrame:
     offset, apart = origin_of(address.to_numpy(np.int64).view(np.uint64), constant.to_numpy(np.int64).view(np.uint64))
     return pd.DataFrame({"offset": offset, "displacement": apart})
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fill_value(offset: pd.Series, seed: pd.Series) -> pd.Series:
     words = offset.to_numpy(np.int64).view(np.uint64) * np.uint64(GOLDEN) + seed.to_numpy(np.int64).view(np.uint64)
     return pd.Series(words.view(np.int64))
