@@ -1,0 +1,26 @@
+import duckdb
+import pytest
+
+from quernstone.llm.oracles import ORACLES
+from quernstone.llm.queries import QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    frame = QUERIES[name](spark, sf_dir)
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = db.execute(ORACLES[name])
+    columns = [c[0] for c in found.description]
+    want = sorted(map(repr, found.fetchall()))
+    assert sorted(frame.columns) == sorted(columns)
+    assert sorted(repr(tuple(r)) for r in frame.select(*columns).collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_has_a_row_for_each_row(spark, sf_dir, name):
+    frame = QUERIES[name](spark, sf_dir)
+    rows = frame.count()
+    n = spark.read.parquet(f"{sf_dir}/{'pages' if 'html' in name else 'documents'}.parquet").count()
+    assert rows >= n if "packing" in name else rows == n
