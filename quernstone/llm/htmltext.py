@@ -37,6 +37,8 @@ CLOSED_BY = {
     "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option", "optgroup"]),
 }
+#: Those of readers' comments, which may hold articles of their own.
+COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
 #: Words of class, id and role attributes of what stands beside an article.
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup share sharing social comment comments reply replies disqus respond related recommended recommendations pagination pager login search toolbar complementary contentinfo dialog".split()
@@ -51,7 +53,6 @@ class Line:
     text: str
     tags: int
     path: tuple[int, ...]
-    beside: bool
     linked: int
 
 
@@ -61,8 +62,10 @@ class LineReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, number, unseen, beside
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, unseen
         self.kinds: dict[int, str] = {0: ""}
+        self.beside: set[int] = set()  # numbers of containers beside the article
+        self.doubtful: set[int] = set()  # those of them that only a word of an attribute says so of
         self.parts: list[str] = []
         self.tags = self.numbers = self.in_link = self.link_chars = 0
 
@@ -70,13 +73,13 @@ class LineReader(HTMLParser):
         text = SPACES.sub(" ", "".join(self.parts)).strip(" ")
         self.parts.clear()
         if text:
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _, _ in self.stack), self.stack[-1][3], self.link_chars))
+            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.stack), self.link_chars))
             self.tags = self.link_chars = 0
 
     def handle_starttag(self, tag, attrs):
         if self.stack[-1][2]:
             if tag not in VOID:
-                self._push(tag, True, True)
+                self._push(tag, True)
             return
         self.tags += 1
         if tag == "br":
@@ -93,30 +96,35 @@ class LineReader(HTMLParser):
                     self.stack.pop()
             while self.stack[-1][0] in CLOSED_BY and tag in CLOSED_BY[self.stack[-1][0]]:
                 self.stack.pop()
-        self._push(tag, tag in UNSEEN or self._hidden(attrs), self.stack[-1][3] or self._beside(tag, attrs))
+        if tag in ("main", "article"):  # what holds the article isn't beside it
+            self.beside -= self.doubtful.intersection(n for _, n, _ in self.stack)
+        self._push(tag, tag in UNSEEN or self._hidden(attrs))
+        self._place(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _push(self, tag: str, unseen: bool, beside: bool) -> None:
+    def _push(self, tag: str, unseen: bool) -> None:
         self.numbers += 1
         self.kinds[self.numbers] = tag
-        self.stack.append((tag, self.numbers, unseen or self.stack[-1][2], beside))
+        self.stack.append((tag, self.numbers, unseen or self.stack[-1][2]))
 
     @staticmethod
     def _hidden(attrs) -> bool:
         return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v) for k, v in attrs)
 
-    def _beside(self, tag: str, attrs) -> bool:
-        if tag in BESIDE:
-            return True
-        if tag == "header":  # an article's own header holds its title
-            return not any(name in ("article", "main") for name, _, _, _ in self.stack)
-        if tag in ("html", "body", "main", "article", "h1"):
-            return False
-        return any(k in ("class", "id", "role") and v and not BESIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(v)) for k, v in attrs)
+    def _place(self, tag: str, attrs) -> None:
+        """Notes whether the container just begun stands beside the article."""
+        if tag in BESIDE or tag == "header" and not any(name in ("article", "main") for name, _, _ in self.stack):
+            self.beside.add(self.numbers)  # an article's own header holds its title
+        elif tag not in ("html", "body", "main", "h1"):
+            words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in WORD.findall(v)}
+            if not words.isdisjoint(COMMENT_WORDS if tag in ("article", "header") else BESIDE_WORDS):
+                self.beside.add(self.numbers)
+                if words.isdisjoint(COMMENT_WORDS):
+                    self.doubtful.add(self.numbers)
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -125,7 +133,7 @@ class LineReader(HTMLParser):
             if self.stack[at][0] == tag:
                 if tag not in INLINE and not self.stack[-1][2]:
                     self.flush()
-                if tag in INLINE and any(name not in INLINE for name, _, _, _ in self.stack[at + 1 :]):
+                if tag in INLINE and any(name not in INLINE for name, _, _ in self.stack[at + 1 :]):
                     return  # a stray end tag doesn't end blocks
                 del self.stack[at:]
                 break
@@ -136,7 +144,7 @@ class LineReader(HTMLParser):
     def handle_data(self, data):
         if not self.stack[-1][2]:
             self.parts.append(data)
-            if any(name == "a" for name, _, _, _ in self.stack):
+            if any(name == "a" for name, _, _ in self.stack):
                 self.link_chars += len(data)
 
     def close(self):
@@ -165,12 +173,12 @@ def main_lines(html: str) -> list[str]:
     reader = LineReader()
     reader.feed(html)
     reader.close()
-    lines = [x for x in reader.lines if not x.beside]
+    lines = [x for x in reader.lines if reader.beside.isdisjoint(x.path)]
     if not lines:
         return []
     ratios = smoothed([(len(x.text) - x.linked) / (x.tags + 1) for x in reader.lines])
     threshold = deviation(ratios)
-    content = [x for x, r in zip(reader.lines, ratios) if not x.beside and r >= threshold] or lines
+    content = [x for x, r in zip(reader.lines, ratios) if r >= threshold and reader.beside.isdisjoint(x.path)] or lines
     # the text of the content cluster in each container; the innermost with most of it is the region
     weight: dict[int, int] = {}
     for x in content:
