@@ -12,11 +12,13 @@ from quernstone.plans.catalogue import query
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.candidate_rows(fn(spark, d), MIN_INSTRUCTIONS).withColumn("content", content_key(F.col("tokens")))
+    """Kept once computed: tokens and content feed most queries, several times each.
+    Spark recomputes what an executor loses, and spills what memory cannot hold."""
+    return dataset.candidate_rows(fn(spark, d), MIN_INSTRUCTIONS).withColumn("content", content_key(F.col("tokens"))).persist()
 
 
 def eligible(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.eligible_rows(candidates(spark, d))
+    return dataset.eligible_rows(candidates(spark, d)).persist()
 
 
 def fixed_splits(rows: DataFrame) -> DataFrame:
