@@ -16,12 +16,16 @@ from quernstone.sources.manifest import load_manifest
 from quernstone.sources.snapshots import Store, export_training
 
 
-def function_rows(s: Store, min_instructions: int = 8):
-    """Candidates of a store with tokens and content."""
+def joined_rows(s: Store):
+    """Functions with a matched truth, their place in the corpus and their code."""
     corpus = s.read("corpus_binaries").select("binary_id", "package", "opt_level")
     truth = s.read("ground_truth").where("function_id IS NOT NULL").select("function_id", "binary_id", "name", "decl_file")
-    rows = truth.join(corpus, "binary_id").join(s.read("function_code").drop("binary_id"), "function_id")
-    rows = dataset.candidate_rows(rows, min_instructions).withColumn("tokens", tokens(F.col("listing")))
+    return truth.join(corpus, "binary_id").join(s.read("function_code").drop("binary_id"), "function_id")
+
+
+def function_rows(s: Store, min_instructions: int = 8):
+    """Candidates of a store with tokens and content."""
+    rows = dataset.candidate_rows(joined_rows(s), min_instructions).withColumn("tokens", tokens(F.col("listing")))
     return rows.withColumn("content", content_key(F.col("tokens")))
 
 
@@ -55,7 +59,7 @@ def cmd_dataset(s: Store, a) -> int:
         found = dataset.assign_splits(dataset.package_sizes(rows), domains)
         s.write("dataset_split", found.withColumn("assigned_at", F.current_timestamp()))
     splits = s.read("dataset_split").select("package", "split")
-    dataset.report(candidates, candidates, rows, splits).orderBy("measure").show(100, False)
+    dataset.report(joined_rows(s), candidates, rows, splits).orderBy("measure").show(100, False)
     leak = dataset.leakage(candidates, splits).first()
     print(f"content that would leak without deduplication: {leak['prevented']}; that leaks: {leak['leaked']}")
     return int(leak["leaked"] > 0)
@@ -78,7 +82,7 @@ def cmd_vocab(s: Store, a) -> int:
 
 
 def cmd_inspect(s: Store, a) -> int:
-    rows = browse.find_functions(function_rows(s, 0), a.id, a.package, a.opt, a.name)
+    rows = browse.find_functions(joined_rows(s), a.id, a.package, a.opt, a.name)
     rows = browse.sample_functions(rows, a.sample, a.seed) if a.sample else rows
     shown = F.array_join(browse.shown_listing(F.col("listing"), a.lines), "\n")
     line = browse.summary_line(F.col("function_id"), F.col("package"), F.col("opt_level"), F.col("n_instructions"), F.col("name"))

@@ -296,3 +296,75 @@ def wild_class(kind: Column, address: Column, origin: Column, from_stack: Column
         .when(beyond, "beyond a region")
         .otherwise("other")
     )
+
+
+# ---- runs, as rows of stores
+
+INPUT_BASE, INPUT_END = 0x2000_0000_0000, 0x2100_0000_0000
+ARENA_BASE, ARENA_END = 0x3000_0000_0000, 0x3100_0000_0000
+BUFFER_STRIDE = 1 << 20
+
+
+def touched_bytes(stores: DataFrame, pages: DataFrame) -> DataFrame:
+    """(run columns, page, offset): the bytes that a run's stores wrote, on the pages
+    that were recorded of it. stores: address, size; pages: page."""
+    run = [c for c in pages.columns if c != "page"]
+    byte = F.explode(F.sequence(F.col("address"), F.col("address") + F.col("size") - 1))
+    each = stores.where("size > 0").select(*run, byte.alias("byte"))
+    each = each.select(*run, (F.col("byte") - F.col("byte") % PAGE).alias("page"), (F.col("byte") % PAGE).cast("int").alias("offset"))
+    return each.distinct().join(pages, [*run, "page"], "left_semi")
+
+
+def stable_writes(touched: DataFrame, garbage: DataFrame, writes: DataFrame) -> DataFrame:
+    """Bytes that a side wrote and both its seeds agree on, with their value.
+    touched and writes are of seed A."""
+    key = [*CASE, "side", "page", "offset"]
+    return touched.select(*key).join(garbage.select(*key), key, "left_anti").join(writes.select(*key, "byte"), key)
+
+
+def compared_memory(stable: DataFrame, foreign: DataFrame) -> DataFrame:
+    """(case, compared_bytes, differs) over bytes that both sides wrote stably and
+    that hold no address of a region laid out apart."""
+    place = [*CASE, "page", "offset"]
+    side = lambda s, name: stable.where(F.col("side") == s).select(*place, F.col("byte").alias(name))
+    both = side("Q", "q").join(side("K", "k"), place).join(foreign.select(*place), place, "left_anti")
+    return both.groupBy(*CASE).agg(F.count("*").cast("int").alias("compared_bytes"), F.bool_or(F.col("q") != F.col("k")).alias("differs"))
+
+
+def run_traces(stores: DataFrame, run: list[str]) -> DataFrame:
+    """(run, buffers, arena_bytes): which input buffers a run wrote to, by their
+    distance from the first, and how many bytes to the arena."""
+    inside = F.col("address").between(INPUT_BASE, INPUT_END - 1)
+    arena = F.col("address").between(ARENA_BASE, ARENA_END - 1)
+    index = F.when(inside, F.floor((F.col("address") - INPUT_BASE) / BUFFER_STRIDE))
+    return stores.groupBy(*run).agg(F.array_sort(F.collect_set(index)).alias("buffers"), F.coalesce(F.sum(F.when(arena, F.col("size"))), F.lit(0)).cast("long").alias("arena_bytes"))
+
+
+def handed_out(address: Column) -> Column:
+    return address.between(INPUT_BASE, INPUT_END - 1) | address.between(ARENA_BASE, ARENA_END - 1)
+
+
+def beyond(address: Column, span: int = 1 << 40) -> Column:
+    """Whether an address lies just outside a region that was handed out."""
+    near = F.lit(False)
+    for low, high in ((INPUT_BASE, INPUT_END), (ARENA_BASE, ARENA_END)):
+        near = near | address.between(low - span, high + span - 1)
+    return near
+
+
+def status_split(outcomes: DataFrame) -> DataFrame:
+    """(pair_id, input_idx, split): whether the sides ended differently under every
+    seed and fill; null where a run read invented memory or seeds ended apart."""
+    wide = pivoted(outcomes.withColumn("invented", F.col("invented").cast("int")), ["status", "invented"])
+    clean = F.greatest(*[F.col(f"invented_{s}{e}") for s, e in RUNS]) == 0
+    steady = (F.col("status_QA") == F.col("status_QB")) & (F.col("status_KA") == F.col("status_KB"))
+    sums = wide.groupBy("pair_id", "input_idx").agg(F.bool_and(clean & steady).alias("ok"), F.bool_and(F.col("status_QA") != F.col("status_KA")).alias("split"))
+    return sums.select("pair_id", "input_idx", F.when(F.col("ok"), F.col("split")).alias("split"))
+
+
+def first_wild(outcomes: DataFrame) -> DataFrame:
+    """(pair_id, input_idx, variant, side, seed, wild): the run whose wild access says
+    most of a pair: the first that stopped, else the first."""
+    place = F.struct((F.col("status") == COMPLETED).cast("int").alias("done"), "input_idx", "variant", F.when(F.col("side") == "Q", 0).otherwise(1).alias("k"), "seed", "side", "wild")
+    least = outcomes.where("wild IS NOT NULL").groupBy("pair_id").agg(F.min(place).alias("f"))
+    return least.select("pair_id", *[F.col(f"f.{c}").alias(c) for c in ("input_idx", "variant", "side", "seed", "wild")])

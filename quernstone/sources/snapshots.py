@@ -22,19 +22,32 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._known: dict[str, str] | None = None
+        self._turn = 0
 
     def _names(self) -> dict[str, str]:
-        """Table (and version) to its current snapshot; the last row of a name counts."""
+        """Table (and version) to its current snapshot, as of when this was opened and
+        what it has written since; the last row of a name counts."""
+        if self._known is None:
+            rows = self._listed()
+            self._known = {r["name"]: r["value"] for r in rows}
+            self._turn = max((r["turn"] + 1 for r in rows), default=0)
+        return self._known
+
+    def _listed(self) -> list:
         path = f"{self.folder}/_current"
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return {}
+            return []
         rows = self.spark.read.schema("name string, value string, turn long").json(path)
-        return {r["name"]: r["value"] for r in rows.orderBy("turn").collect()}  # a row for each write
+        return rows.orderBy("turn").collect()  # a row for each write
 
     def _note(self, **values: str) -> None:
-        turn = len(self._names()) and self.spark.read.schema("turn long").json(f"{self.folder}/_current").agg(F.max("turn")).first()[0] + 1
-        self.spark.createDataFrame([(k, str(v), turn) for k, v in values.items()], "name string, value string, turn long").coalesce(1).write.mode("append").json(f"{self.folder}/_current")
+        names = self._names()
+        rows = [(k, str(v), self._turn) for k, v in values.items()]
+        self.spark.createDataFrame(rows, "name string, value string, turn long").coalesce(1).write.mode("append").json(f"{self.folder}/_current")
+        names.update((k, str(v)) for k, v in values.items())
+        self._turn += 1
 
     def fresh(self) -> bool:
         return not self._names()
