@@ -241,11 +241,16 @@ def garbage_bytes(writes: DataFrame, stores: DataFrame) -> DataFrame:
 
     def run(ids: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         seen: dict[str, dict[int, np.ndarray]] = {"A": {}, "B": {}}
-        for (seed, page), part in frame[frame.what == "w"].groupby(["seed", "page"]):
-            content = seen[seed].setdefault(int(page), np.zeros(PAGE, np.int64))
-            content[part.offset.to_numpy()] = part.value.to_numpy()
-        order = frame[frame.what == "s"].sort_values(["seed", "ord"])
-        bad = sorted(garbage_of(seen["A"], seen["B"], list(zip(order.page, order.offset, order.value == 1))))
+        moved = []
+        for seed, turn, page, offset, value, what in zip(*(frame[c].to_numpy() for c in ("seed", "ord", "page", "offset", "value", "what"))):
+            if what == "w":
+                content = seen[seed].get(page)
+                if content is None:
+                    content = seen[seed][page] = np.zeros(PAGE, np.int64)
+                content[offset] = value
+            else:
+                moved.append((seed, turn, int(page), int(offset), value == 1))
+        bad = sorted(garbage_of(*seen.values(), [m[2:] for m in sorted(moved)]))
         out = pd.DataFrame(bad, columns=["page", "offset"]).astype({"page": "int64", "offset": "int32"})
         for name, value in zip(reversed(key), reversed(ids)):
             out.insert(0, name, value)
