@@ -300,6 +300,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = SHINGLE) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def distinct_groups(groups: DataFrame) -> DataFrame:
+    """groups without those whose members are the members of another."""
+    member = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"members_{i}") for i in range(2)]
+    shape = groups.groupBy("signature").agg(F.count("*").alias("n"), *member).where("n > 1")
+    first = shape.groupBy("n", "members_0", "members_1").agg(F.min("signature").alias("signature"))
+    return groups.join(first.select("signature"), "signature", "left_semi")
+
+
 def star_pairs(groups: DataFrame, latest: bool) -> DataFrame:
     """Each member of a signature's group with the first (or last) one."""
     lead = groups.groupBy("signature").agg((F.max if latest else F.min)("doc_id").alias("a"))
@@ -353,6 +361,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     buckets = max(16, math.ceil(total / BUCKET_SIGNATURES))
     firsts = only(docs, classes.select("doc_id"))
     groups = stored(shared_signatures(signature_buckets(firsts, buckets, words)).distinct(), "shared-signatures")
+    groups = stored(distinct_groups(groups), "signature-groups")
 
     links, found, open_groups = None, None, groups
     for step in ("first", "last", "all"):
@@ -372,7 +381,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             known = groups.withColumn("component", F.col("doc_id"))
             if found is not None:
                 known = groups.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            split = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+            # stars from one end have compared all of a group of two, from both ends of three
+            shape = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+            split = shape.where(F.expr("low <> high") & (F.col("n") > (2 if step == "first" else 3))).select("signature")
             open_groups = stored(known.join(split, "signature", "left_semi"), "open-groups")
             if open_groups.isEmpty():
                 break
