@@ -13,6 +13,7 @@ the numbers lead to places in sequences.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from unicodedata import is_normalized
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import stored, texts
+from quernstone.llm.common import stored, texts, worker_cache
 
 CAPACITY = 4096
 END = 1
@@ -50,7 +51,7 @@ class TokenBytes:
     #: Fixed: ASCII marks, but for the apostrophe, which the tokenizer joins to letters.
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 2_000_000):
         import os
         import re
 
@@ -61,22 +62,29 @@ class TokenBytes:
         self.cache: dict[str, bytes] = {"": b""}
         self.odd = re.compile("[\x1c-\x1f]")
 
-    def _base(self, part: str) -> tuple[str, str]:
-        """Lower-case letters and the ASCII marks after them, where the two are
-        encoded apart; else the whole stretch."""
-        letters = part.rstrip(self.MARKS)
-        if letters.isalpha() and "\u03a3" not in letters and is_normalized("NFC", part):
-            return letters.lower(), part[len(letters) :]
-        return part, ""
-
     def _learn(self, new: set[str]) -> None:
-        base = {p: self._base(p) for p in new}
-        words = list({x for pair in base.values() for x in pair if x and x not in self.cache})
-        for at in range(0, len(words), 4096):
-            encoded = self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words[at : at + 4096], encoded))
-        get = self.cache.__getitem__
-        self.cache.update((p, get(a) + get(b) if b else get(a)) for p, (a, b) in base.items())
+        """Remembers new stretches. Letters and the ASCII marks after them are encoded
+        apart, as the tokenizer does, and letters in lower case."""
+        cache, words, made = self.cache, set(), []
+        for p in new:
+            letters = p.rstrip(self.MARKS)
+            if letters.isalpha() and (letters.isascii() or "\u03a3" not in letters and is_normalized("NFC", letters)):
+                low, marks = letters.lower(), p[len(letters) :]
+                if low != p:
+                    made.append((p, low, marks))
+                if marks and marks not in cache:
+                    words.add(marks)
+            else:
+                low = p
+            if low not in cache:
+                words.add(low)
+        listed = list(words)
+        for at in range(0, len(listed), 4096):
+            part = listed[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                cache[w] = array("I", e.ids).tobytes()
+        for p, low, marks in made:
+            cache[p] = cache[low] + cache[marks] if marks else cache[low]
 
     def encode(self, group: list[str]) -> list[bytes]:
         if len(self.cache) > self.remembered:
@@ -115,7 +123,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, tokens, last = to_arrow_schema(schema), TokenBytes(path), np.array([end], "<u4").tobytes()
+        cache = worker_cache()  # words come again in a worker's next task
+        tokens = cache.get(("token bytes", path)) or cache.setdefault(("token bytes", path), TokenBytes(path))
+        out, last = to_arrow_schema(schema), np.array([end], "<u4").tobytes()
         for batch in batches:
             doc_ids, contents = batch.column(0).to_pylist(), texts(batch)
             at = 0
