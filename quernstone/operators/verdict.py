@@ -7,8 +7,11 @@ joined columns; rules are one chain of when.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,33 +234,57 @@ def garbage_of(a: dict[int, np.ndarray], b: dict[int, np.ndarray], stores: list[
     return bad
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[tuple]], Iterable[tuple]], result: str) -> DataFrame:
+    """run over each group of rows, in an order; gives it the other columns and puts
+    the keys before what it returns. Groups follow each other in a sorted partition,
+    so a task holds one at a time and pays for none of them apart."""
+    rest = [c for c in df.columns if c not in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema, n = ", ".join([*(f"{c} {kinds[c]}" for c in keys), result]), len(keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_json_string
+
+        out = to_arrow_schema(_parse_datatype_json_string(parsed))
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(out), out)], schema=out)
+
+        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        held: list[tuple] = []
+        for key, group in itertools.groupby(every, key=lambda r: r[:n]):
+            held += [(*key, *x) for x in run(r[n:] for r in group)]
+            if len(held) >= 10_000:
+                yield batch(held)
+                held = []
+        yield batch(held)
+
+    parsed = df.sparkSession.createDataFrame([], schema).schema.json()
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+
+
 def garbage_bytes(writes: DataFrame, stores: DataFrame) -> DataFrame:
     """(case, side, page, offset). writes: case, side, seed, page, offset, byte, all
     bytes of each page seen. stores: case, side, seed, ord, address, size, partial.
     What one run wrote fits in a task; runs are dealt over all."""
     key = [*CASE, "side"]
-    pages = writes.select(*key, "seed", F.lit(0).cast("long").alias("ord"), "page", "offset", F.col("byte").cast("long").alias("value"), F.lit("w").alias("what"))
-    moves = stores.select(*key, "seed", F.col("ord").cast("long"), F.col("address").alias("page"), F.col("size").alias("offset"), F.col("partial").cast("long").alias("value"), F.lit("s").alias("what"))
+    pages = writes.select(*key, "seed", F.lit(-1).cast("long").alias("ord"), "page", F.col("offset").cast("long").alias("offset"), F.col("byte").cast("long").alias("value"))
+    moves = stores.select(*key, "seed", F.col("ord").cast("long"), F.col("address").alias("page"), F.col("size").cast("long").alias("offset"), F.col("partial").cast("long").alias("value"))
 
-    def run(ids: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: Iterator[tuple]) -> list[tuple[int, int]]:
         seen: dict[str, dict[int, np.ndarray]] = {"A": {}, "B": {}}
-        moved = []
-        for seed, turn, page, offset, value, what in zip(*(frame[c].to_numpy() for c in ("seed", "ord", "page", "offset", "value", "what"))):
-            if what == "w":
-                content = seen[seed].get(page)
-                if content is None:
-                    content = seen[seed][page] = np.zeros(PAGE, np.int64)
-                content[offset] = value
+        moved = []  # comes in the order of seed, then of the stores
+        for seed, turn, page, offset, value in rows:
+            if turn >= 0:
+                moved.append((page, offset, value == 1))
             else:
-                moved.append((seed, turn, int(page), int(offset), value == 1))
-        bad = sorted(garbage_of(*seen.values(), [m[2:] for m in sorted(moved)]))
-        out = pd.DataFrame(bad, columns=["page", "offset"]).astype({"page": "int64", "offset": "int32"})
-        for name, value in zip(reversed(key), reversed(ids)):
-            out.insert(0, name, value)
-        return out
+                if page not in seen[seed]:
+                    seen[seed][page] = np.zeros(PAGE, np.int64)
+                seen[seed][page][offset] = value
+        return sorted(garbage_of(*seen.values(), moved))
 
-    kinds = {f.name: f.dataType.simpleString() for f in writes.schema}
-    return pages.unionByName(moves).groupBy(*key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in key) + ", page long, offset int")
+    return by_group(pages.unionByName(moves), key, ["seed", "ord"], run, "page long, offset int")
 
 
 def foreign_offsets(mine: dict[int, int], theirs: dict[int, int], ranges: list[tuple[int, int]]) -> set[int]:
@@ -275,17 +302,14 @@ def foreign_offsets(mine: dict[int, int], theirs: dict[int, int], ranges: list[t
 def foreign_pointer_bytes(stable: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     """(case, page, offset). stable: case, side, page, offset, byte of what each side
     wrote and can stand behind; ranges: the few regions that the builds lay out apart."""
-    key = [*CASE, "page"]
 
-    def run(ids: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [dict(zip(p.offset, p.byte)) for p in (frame[frame.side == s] for s in "QK")]
-        out = pd.DataFrame({"offset": sorted(foreign_offsets(*sides, ranges))}).astype({"offset": "int32"})
-        for name, value in zip(reversed(key), reversed(ids)):
-            out.insert(0, name, value)
-        return out
+    def run(rows: Iterator[tuple]) -> list[tuple[int]]:
+        sides: dict[str, dict[int, int]] = {"Q": {}, "K": {}}
+        for side, offset, byte in rows:
+            sides[side][offset] = byte
+        return [(o,) for o in sorted(foreign_offsets(*sides.values(), ranges))]
 
-    kinds = {f.name: f.dataType.simpleString() for f in stable.schema}
-    return stable.groupBy(*key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in key) + ", offset int")
+    return by_group(stable.select(*CASE, "page", "side", "offset", "byte"), [*CASE, "page"], ["side", "offset"], run, "offset int")
 
 
 def wild_class(kind: Column, address: Column, origin: Column, from_stack: Column, beyond: Column, is_variant: Column) -> Column:

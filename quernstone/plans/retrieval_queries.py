@@ -27,7 +27,14 @@ RANKED = """, pair AS (SELECT q.query_id, p.pool_id, coalesce(score, 0) AS score
 best AS (SELECT query_id, max(score) AS g FROM pair WHERE is_gold GROUP BY query_id),
 ranked AS (SELECT query_id, count(*) FILTER (NOT is_gold AND score > g + 1e-12)
   + (count(*) FILTER (abs(score - g) <= 1e-12) + 1) / (count(*) FILTER (is_gold AND abs(score - g) <= 1e-12) + 1) AS rank FROM pair JOIN best USING (query_id) GROUP BY query_id)"""
-SUMMARY = "count(*) AS queries, avg((rank <= 1)::INT) AS recall_at_1, avg((rank <= 10)::INT) AS recall_at_10, avg(1 / rank) AS mrr, list_sort(list(rank))[(count(*) // 2 + 1)::INT] AS median_rank"
+_MEASURES = {"recall_at_1": "avg((rank <= 1)::INT)", "recall_at_10": "avg((rank <= 10)::INT)", "mrr": "avg(1 / rank)", "median_rank": "list_sort(list(rank))[(count(*) // 2 + 1)::INT]"}
+SUMMARY = "count(*) AS queries, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _MEASURES.items())
+EXACT = "count(*) AS queries, " + ", ".join(f"{v} AS {k}" for k, v in _MEASURES.items())
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, so that the order of a sum does not show."""
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def task(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,10 +54,10 @@ def equivalence_classes(spark, d):
 _RANDOM = "('0x' || substr(md5('1:' || q.function_id || ':' || p.function_id), 1, 13))::BIGINT / 4503599627370496.0"
 
 
-@query("score_random", f"SELECT q.function_id AS query_id, avg({_RANDOM}) AS mean, max({_RANDOM}) AS most FROM query q CROSS JOIN pool p GROUP BY 1", "query", "pool")
+@query("score_random", f"SELECT q.function_id AS query_id, round(avg({_RANDOM}), 6) AS mean, round(max({_RANDOM}), 6) AS most FROM query q CROSS JOIN pool p GROUP BY 1", "query", "pool")
 def score_random(spark, d):
     queries, pool, _ = task(spark, d)
-    return retrieval.score_random(queries, pool).groupBy("query_id").agg(F.avg("score").alias("mean"), F.max("score").alias("most"))
+    return rounded(retrieval.score_random(queries, pool).groupBy("query_id").agg(F.avg("score").alias("mean"), F.max("score").alias("most")))
 
 
 _STRUCT = """WITH p AS (SELECT function_id, ln(1 + n_instructions) AS i, ln(1 + n_blocks) AS b, ln(1 + n_calls) AS c FROM pool),
@@ -91,7 +98,7 @@ def rank_ties(spark, d):
 @query("retrieval_bm25_metrics", f"{FN_BM25}{RANKED} SELECT {SUMMARY} FROM ranked", "query", "pool", "gold")
 def retrieval_bm25_metrics(spark, d):
     queries, pool, gold = task(spark, d)
-    return retrieval.metrics(retrieval.evaluate("bm25", queries, pool, gold))
+    return rounded(retrieval.metrics(retrieval.evaluate("bm25", queries, pool, gold)))
 
 
 def _by_package(spark, d):
@@ -100,29 +107,29 @@ def _by_package(spark, d):
     return retrieval.metrics(ranked.join(queries.select(F.col("function_id").alias("query_id"), "package"), "query_id"), ["package"])
 
 
-_PACKAGES = f"{FN_BM25}{RANKED}, per AS (SELECT package, {SUMMARY} FROM ranked JOIN (SELECT function_id AS query_id, package FROM query) USING (query_id) GROUP BY package)"
+_PACKAGES = f"{FN_BM25}{RANKED}, per AS (SELECT package, {EXACT} FROM ranked JOIN (SELECT function_id AS query_id, package FROM query) USING (query_id) GROUP BY package)"
 
 
-@query("metrics_per_package", f"{_PACKAGES} SELECT * FROM per", "query", "pool", "gold")
+@query("metrics_per_package", f"{_PACKAGES} SELECT package, queries, round(recall_at_1, 6) AS recall_at_1, round(recall_at_10, 6) AS recall_at_10, round(mrr, 6) AS mrr, round(median_rank, 6) AS median_rank FROM per", "query", "pool", "gold")
 def metrics_per_package(spark, d):
-    return _by_package(spark, d)
+    return rounded(_by_package(spark, d))
 
 
-@query("metrics_macro", f"{_PACKAGES} SELECT count(*) AS packages, avg(recall_at_1) AS recall_at_1, avg(recall_at_10) AS recall_at_10, avg(mrr) AS mrr FROM per", "query", "pool", "gold")
+@query("metrics_macro", f"{_PACKAGES} SELECT count(*) AS packages, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr FROM per", "query", "pool", "gold")
 def metrics_macro(spark, d):
-    return retrieval.macro_mean(_by_package(spark, d))
+    return rounded(retrieval.macro_mean(_by_package(spark, d)))
 
 
 @query("retrieval_jaccard_metrics", f"{_JACCARD}{RANKED} SELECT {SUMMARY} FROM ranked", "query", "pool", "gold")
 def retrieval_jaccard_metrics(spark, d):
     queries, pool, gold = task(spark, d)
-    return retrieval.metrics(retrieval.evaluate("import-jaccard", queries, pool, gold))
+    return rounded(retrieval.metrics(retrieval.evaluate("import-jaccard", queries, pool, gold)))
 
 
 @query("retrieval_structural_metrics", f"{_STRUCT}{RANKED} SELECT {SUMMARY} FROM ranked", "query", "pool", "gold")
 def retrieval_structural_metrics(spark, d):
     queries, pool, gold = task(spark, d)
-    return retrieval.metrics(retrieval.evaluate("structural", queries, pool, gold))
+    return rounded(retrieval.metrics(retrieval.evaluate("structural", queries, pool, gold)))
 
 
 _VEC = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 2 = 0), p AS (SELECT * FROM v WHERE vec_id % 2 = 1),
@@ -148,7 +155,7 @@ def score_vector(spark, d):
 def retrieval_vector_metrics(spark, d):
     q, p, gold = _vectors(spark, d)
     scores = retrieval.score_vector(q.select("id", "vector"), p.select("id", "vector"))
-    return retrieval.metrics(retrieval.ranks(scores, gold, p, sparse=False))
+    return rounded(retrieval.metrics(retrieval.ranks(scores, gold, p, sparse=False)))
 
 
 def _words(text):
@@ -176,7 +183,7 @@ def text_bm25_benchmark(spark, d):
     found = scores.join(items.select("query_id", F.col("text").alias("item")), "query_id").join(docs.select("pool_id", "text"), "pool_id")
     gold = found.where(F.col("text").contains(F.col("item"))).select("query_id", "pool_id")
     kept = scores.join(gold.select("query_id").distinct(), "query_id", "left_semi")
-    return retrieval.metrics(retrieval.ranks(kept, gold, docs, sparse=True))
+    return rounded(retrieval.metrics(retrieval.ranks(kept, gold, docs, sparse=True)))
 
 
 # ---- tokens: the grammar over listings made of the lines
@@ -274,12 +281,12 @@ def encode_tokens(spark, d):
 
 @query(
     "vocab_coverage",
-    f"{ENCODED} SELECT sum(n)::BIGINT AS tokens, sum(u) / sum(n) AS unk_rate, sum(r) / sum(n) AS rare_import_rate, count(*) AS functions, avg((u + r > 0)::INT) AS functions_with_fallback FROM (SELECT function_id, count(*) AS n, count(*) FILTER (token_id = 3) AS u, count(*) FILTER (token_id = 4) AS r FROM enc GROUP BY 1)",
+    f"{ENCODED} SELECT sum(n)::BIGINT AS tokens, round(sum(u) / sum(n), 6) AS unk_rate, round(sum(r) / sum(n), 6) AS rare_import_rate, count(*) AS functions, round(avg((u + r > 0)::INT), 6) AS functions_with_fallback FROM (SELECT function_id, count(*) AS n, count(*) FILTER (token_id = 3) AS u, count(*) FILTER (token_id = 4) AS r FROM enc GROUP BY 1)",
     "eligible",
 )
 def vocab_coverage(spark, d):
     rows = candidates(spark, d)
-    return vocab.coverage(vocab.encode(rows, vocab.build_vocab(eligible(spark, d))), rows)
+    return rounded(vocab.coverage(vocab.encode(rows, vocab.build_vocab(eligible(spark, d))), rows))
 
 
 @query("vocab_hash", f"{VOCAB} SELECT substr(sha256(string_agg(token, chr(10) ORDER BY id)), 1, 16) AS vocab_hash FROM vocab", "eligible")

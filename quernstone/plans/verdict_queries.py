@@ -221,22 +221,21 @@ def initialiser_match(spark, d):
 
 @query("garbage_bytes")
 def garbage_bytes(spark, d):
-    """Bytes of one page for each case: eight of seed B moved, two stores over them."""
-    c = cases(spark, d).where("q % 10 = 3")
-    runs = c.withColumn("r", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(e).alias("seed")) for s, e in verdict.RUNS]))).select(*verdict.CASE, "p", "s", "r.side", "r.seed")
-    byte = ((F.col("p") + F.col("offset")) % 256 + F.when((F.col("seed") == "B") & (F.col("offset") == F.col("s") % 16), 1).otherwise(0)).cast("int")
-    writes = runs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(31)))).select(*verdict.CASE, "side", "seed", F.lit(verdict.PAGE).cast("long").alias("page"), "offset", byte.alias("byte"))
-    stores = runs.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).select(*verdict.CASE, "side", "seed", "ord", (F.lit(verdict.PAGE) + 8 * F.col("ord")).cast("long").alias("address"), F.lit(8).alias("size"), F.lit(False).alias("partial"))
+    """Bytes of one page for each case: one of seed B moved, two stores over them."""
+    runs = cases(spark, d).withColumn("r", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(e).alias("seed")) for s, e in verdict.RUNS]))).select(*verdict.CASE, "p", "s", "r.side", "r.seed")
+    byte = ((F.col("p") + F.col("offset")) % 256 + F.when((F.col("seed") == "B") & (F.col("offset") == F.col("s") % 12), 1).otherwise(0)).cast("int")
+    writes = runs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(*verdict.CASE, "side", "seed", F.lit(verdict.PAGE).cast("long").alias("page"), "offset", byte.alias("byte"))
+    stores = runs.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).select(*verdict.CASE, "side", "seed", "ord", (F.lit(verdict.PAGE) + 4 * F.col("ord")).cast("long").alias("address"), F.lit(5).alias("size"), F.lit(False).alias("partial"))
     return verdict.garbage_bytes(writes, stores)
 
 
 @query("foreign_pointer_bytes")
 def foreign_pointer_bytes(spark, d):
     """A page for each case that holds an address of a foreign region at an offset."""
-    c = cases(spark, d).where("q % 10 = 4")
+    c = cases(spark, d)
     at = F.col("offset") - F.col("s") % 8
     byte = F.when(at.between(0, 7), F.call_function("shiftright", F.lit(0x1_4000_0000).cast("long") + F.col("p"), (at * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))).otherwise(255).cast("int")
-    rows = c.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("side", F.explode(F.array(F.lit("Q"), F.lit("K"))))
+    rows = c.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("side", F.explode(F.array(F.lit("Q"), F.lit("K"))))
     return verdict.foreign_pointer_bytes(rows.select(*verdict.CASE, "side", F.lit(0).cast("long").alias("page"), "offset", byte.alias("byte")), [(0x1_4000_0000, 0x1_5000_0000)])
 
 
@@ -245,8 +244,8 @@ def fill_origin(spark, d):
     """Addresses made of words of the fill and a displacement, traced back."""
     seed = (F.col("l_suppkey") % 3).cast("long")
     offset = (F.col("l_partkey") * 8) % fill.GAMMA
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", seed.alias("seed"), offset.alias("made_of"), fill.fill_value(offset, seed).alias("word"), (F.col("l_orderkey") % 2049 - 1024).alias("moved"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", seed.alias("seed"), offset.alias("made_of"), fill.fill_value(offset, seed).alias("word"), (F.col("l_orderkey") % 2049 - 1024).alias("moved"))
     signed = F.when(F.col("word") > 0, F.col("word") - 2000).otherwise(F.col("word") + 2000)  # away from the ends of bigint
     near = F.when(F.abs("word") < 9_000_000_000_000_000_000, F.col("word") + F.col("moved")).otherwise(signed)
     found = rows.withColumn("address", near).withColumn("o", fill.fill_origin("address", "seed"))
-    return found.select("l_orderkey", "seed", "address", F.col("o.offset").alias("offset"), F.col("o.displacement").alias("displacement"))
+    return found.select("l_orderkey", "l_linenumber", "seed", "address", F.col("o.offset").alias("offset"), F.col("o.displacement").alias("displacement"))
