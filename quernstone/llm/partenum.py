@@ -44,9 +44,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Places of the histogram of a set's hashes.
 SKETCH = 128
 #: Signatures that a bucket has at most, on average; buckets follow the input.
-BUCKET_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 1_000_000
 #: Signatures after which a task hands its buckets on.
-CHUNK_SIGNATURES = 2_000_000
+CHUNK_SIGNATURES = 1_000_000
 
 
 class Band(NamedTuple):
