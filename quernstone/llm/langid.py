@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, raw_texts
+from quernstone.llm.common import append_columns, least_hashed, raw_texts
 
 UNKNOWN = "und"
 HELD_OUT = 2
@@ -82,8 +82,10 @@ def pair_tables(net: Network) -> list[np.ndarray]:
 
 
 def log_probabilities(net: Network, data: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    widest = max(net.settings.widths)
+    n = data.shape[1] - widest + 1
+    data = np.pad(data, ((0, 0), (0, widest % 2)))  # an odd width's last table ignores its second byte
     pairs = data[:, :-1].astype(np.intp) * 256 + data[:, 1:]
-    n = data.shape[1] - max(net.settings.widths) + 1
     pooled = np.empty((len(data), net.filters.shape[1]), np.float32)
     for at in range(0, len(data), 16):  # few windows at a time stay in the cache
         rows = pairs[at : at + 16]
@@ -155,14 +157,15 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Network:
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Network:
     """A network from at most settings.samples rows with text and lang outside the
-    held-out fold, those with the least xxhash64 of the id, then of the text.
+    held-out fold, those with the least xxhash64 of the id.
     Of each it sees windows_per_text windows, spread evenly over the whole text."""
     n, size, length = settings.windows_per_text, settings.window, F.length("text")
     at = lambda i: (i * F.greatest(length - size, F.lit(0)) / F.lit(max(1, n - 1))).cast("int") + 1
-    rows = docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull() & (length > 0))
+    rows = docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull())
+    total = rows.count()  # reads no text
+    rows = rows.where(length > 0)
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.col("text"), at(i), F.lit(size))))
-    rows = rows.select("lang", cuts.alias("cuts"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    rows = rows.orderBy("h", "t", "lang").limit(settings.samples).collect()
+    rows = least_hashed(rows.select("doc_id", "lang", cuts.alias("cuts")), total, settings.samples, "lang", "cuts").collect()
     return train([c.encode() for r in rows for c in r["cuts"]], [r["lang"] for r in rows for _ in r["cuts"]], settings)
 
 
