@@ -3,9 +3,11 @@
 Only how many pieces there are of each length matters to the packing, and there
 are no more lengths than a sequence has tokens; so the search runs on that
 histogram, on the driver, however many documents there are. Best fit over the
-histogram gives the incumbent. Bin completion then takes the largest length
-left, enumerates the undominated fillings of the room around it and repeats the
-chosen bin as often as the histogram allows; a branch ends when its waste leaves
+histogram, and a quick search among bins of at most four pieces, give the
+incumbent. Bin completion then takes the largest length left, enumerates the
+undominated fillings of the room around it, of any number of pieces, by the sums
+that the histogram reaches, and repeats the chosen bin as often as the histogram
+and the waste allow, or later fewer times; a branch ends when its waste leaves
 no chance to beat the incumbent. Pieces are numbered within their length, in two
 levels so that a length that a third of them have is spread over many tasks, and
 the numbers lead to places in sequences.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
+from typing import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,8 +31,12 @@ from quernstone.llm.common import stored, texts, worker_cache
 CAPACITY = 4096
 END = 1
 SALTS = 64
-#: Bins that the search may try beyond the first descent.
-NODES = 3000
+#: Bins that the quick search may try beyond its first descent.
+QUICK_NODES = 3000
+#: Steps of the search's work: fillings looked at, branches cut, an eighth of the lengths listed.
+NODES = 500_000
+#: Steps whose state of enumeration is held; that of earlier ones is made again when the search comes back.
+HELD = 64
 
 Bin = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
@@ -182,14 +189,14 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:
 
 
 class _Room:
-    """The lengths left, for finding fillings."""
+    """The lengths left, for finding fillings of at most three items."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.below = np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
 
     def fillings(self, room: int, most: int) -> list[tuple[int, ...]]:
-        """Undominated fillings, fullest first, at most so many. One item of the
+        """Some fillings, fullest first, at most so many. One item of the
         largest fitting length dominates all that fit into its place; a pair or
         more stands only if it fills more than that, each with the largest
         partner that fits."""
@@ -224,9 +231,9 @@ class _Room:
             found[items] = sum(items)
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Bin, int]]:
-    """Bins (content, how often) that hold the histogram: those of the search if
-    it beats best fit, else those of best fit."""
+def quick_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = QUICK_NODES) -> list[tuple[Bin, int]]:
+    """Bins (content, how often) that hold the histogram: those of a search among
+    few bins of at most four items if it beats best fit, else those of best fit."""
     incumbent = best_fit(histogram, capacity)
     total = sum(length * n for length, n in histogram.items())
     bound = -(-total // capacity)
@@ -265,6 +272,180 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
     return incumbent
 
 
+class Search:
+    """Bin completion with fillings of any number of items. A step fills bins
+    around the largest length left; `budget` is the only thing that ends it early."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int, budget: int):
+        self.capacity, self.budget = capacity, budget
+        self.counts = [0] * (capacity + 1)
+        for length, n in histogram.items():
+            self.counts[length] = n
+
+    def fillings(self, room: int, least: int) -> Iterator[tuple[Bin, int]]:
+        """Undominated fillings (content, sum) of at least so many tokens, fullest
+        first, those of longer items before others.
+
+        A filling is dominated if a length left over can replace items in it whose
+        sum is as large (two or more items), or less by no more than the room left
+        (any items, or none).
+        """
+        counts = self.counts
+        lengths = [x for x in range(room, 0, -1) if counts[x]]
+        first_at = [0] * (room + 1)  # place of the longest length that fits
+        at = len(lengths)
+        for x in range(room + 1):
+            while at and lengths[at - 1] <= x:
+                at -= 1
+            first_at[x] = at
+        # bit t of reach[i]: t is a sum of items of lengths[i:]
+        reach, mask = [1] * (len(lengths) + 1), (1 << (room + 1)) - 1
+        for i in range(len(lengths) - 1, -1, -1):
+            bits, left, step = reach[i + 1], min(counts[lengths[i]], room // lengths[i]), 1
+            while left > 0:
+                bits |= bits << (lengths[i] * min(step, left))
+                left, step = left - step, step * 2
+            reach[i] = bits & mask
+        free = sum(1 << x for x in lengths)
+        self.budget -= 1 + len(lengths) // 8
+
+        def reached(sums: int, slack: int) -> int:
+            """Bits of what is up to slack more than a sum, but not a sum's own."""
+            sums, width = sums << 1, 1
+            while width < slack:
+                step = min(width, slack - width)
+                sums, width = sums | sums << step, width + step
+            return sums if slack else 0
+
+        def walk(i: int, rest: int, slack: int, picked: Bin, one: int, more: int, free: int):
+            """Fillings whose other items are of lengths[i:] and sum to rest. one and
+            more: bits of the sums of one and of several picked items."""
+            if not rest:
+                self.budget -= 1
+                if not free & (1 << slack + 1) - 1:  # nothing fits beside it
+                    yield picked
+                return
+            for j in range(max(i, first_at[rest]), len(lengths)):
+                if self.budget <= 0 or not reach[j] >> rest & 1:
+                    return
+                x, now_one, now_more, options = lengths[j], one, more, []
+                for n in range(1, min(counts[x], rest // x) + 1):
+                    now_more |= (now_one | now_more) << x
+                    now_one |= 1 << x
+                    now_free = free & ~(1 << x) if n == counts[x] else free
+                    if (now_more | reached(now_one | now_more, slack)) & now_free:  # so are all with more of it
+                        self.budget -= 1
+                        break
+                    if reach[j + 1] >> (rest - n * x) & 1:
+                        options.append((n, now_one, now_more, now_free))
+                for n, now_one, now_more, now_free in reversed(options):
+                    yield from walk(j + 1, rest - n * x, slack, (*picked, (x, n)), now_one, now_more, now_free)
+
+        for total in range(room, max(least, 0) - 1, -1):
+            if reach[0] >> total & 1:
+                for content in walk(0, total, room - total, (), 0, 0, free):
+                    yield content, total
+
+    def options(self, largest: int, spare: int) -> Iterator[tuple[Bin, int, int]]:
+        """(bin, how often, waste of all): each filling as often as it goes, then fewer times."""
+        room = self.capacity - largest
+        for fewer in (False, True):
+            self.counts[largest] -= 1
+            found = self.fillings(room, room - spare)
+            while True:
+                got = next(found, None)
+                if got is None:
+                    break
+                self.counts[largest] += 1  # as outside while suspended
+                content = Counter({largest: 1})
+                for x, n in got[0]:
+                    content[x] += n
+                slack = room - got[1]
+                often = min(self.counts[x] // n for x, n in content.items())
+                if slack:
+                    often = min(often, spare // slack)
+                bin_ = tuple(sorted(content.items(), reverse=True))
+                for n in range(often - 1, 0, -1) if fewer else (often,):
+                    if fewer:
+                        self.budget -= 1
+                    yield bin_, n, n * slack
+                    if self.budget <= 0:
+                        return
+                self.counts[largest] -= 1
+            self.counts[largest] += 1
+
+    def put(self, content: Bin, often: int) -> None:
+        for x, n in content:
+            self.counts[x] -= n * often
+
+    def descend(self, incumbent: list[tuple[Bin, int]], total: int, bound: int, late: int) -> tuple[list[tuple[Bin, int]], bool]:
+        """The best bins found by paths whose choices stand at most `late` places
+        after the first ones, taken together, and whether there were later ones.
+        Nothing is placed when it returns with budget left."""
+        used = lambda bins: sum(n for _, n in bins)
+        # largest, spare waste and places when begun, options, how many are taken, what is placed, its waste
+        steps: list[list] = []
+        spare, strayed, cut, down = (used(incumbent) - 1) * self.capacity - total, 0, False, True
+        while self.budget > 0:
+            if down:
+                largest = next((x for x in range(steps[-1][0] if steps else self.capacity, 0, -1) if self.counts[x]), 0)
+                if largest:
+                    steps.append([largest, spare, strayed, self.options(largest, spare), 0, None, 0])
+                    if len(steps) > HELD:
+                        steps[-1 - HELD][3] = None
+                else:
+                    better = [step[5] for step in steps]
+                    spare -= (used(incumbent) - used(better)) * self.capacity
+                    incumbent = better
+                    if used(incumbent) <= bound:
+                        break
+            if not steps:
+                break
+            step = steps[-1]
+            if step[5] is not None:
+                self.put(step[5][0], -step[5][1])
+                spare += step[6]
+                strayed, step[5] = step[2], None
+            got = None
+            if step[2] + step[4] <= late:
+                if step[3] is None:
+                    step[3] = self.options(step[0], step[1])
+                    for _ in range(step[4]):
+                        next(step[3], None)
+                got = next(step[3], None)
+            else:
+                cut = True
+            down = got is not None and got[2] <= spare
+            if got is None:
+                steps.pop()
+            else:
+                step[4] += 1
+                if down:
+                    self.put(got[0], got[1])
+                    step[5], step[6], strayed = (got[0], got[1]), got[2], step[2] + step[4] - 1
+                    spare -= got[2]
+        return incumbent, cut
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Bin, int]]:
+    """Bins (content, how often) that hold the histogram: those of the search if
+    it beats the quick search and best fit, else theirs."""
+    incumbent = quick_bins(histogram, capacity)
+    total = sum(length * n for length, n in histogram.items())
+    bound = -(-total // capacity)
+    used = lambda bins: sum(n for _, n in bins)
+    if used(incumbent) <= bound:
+        return incumbent
+    search, late = Search(histogram, capacity, nodes), 0
+    # passes that stray from the first choices in more and more steps, until one had no need to stop for that
+    while search.budget > 0 and used(incumbent) > bound:
+        incumbent, cut = search.descend(incumbent, total, bound, late)
+        if not cut:
+            break
+        late = 2 * late or 1
+    return incumbent
+
+
 def slots_of(bins: list[tuple[Bin, int]]) -> np.ndarray:
     """Rows (length, first number, first sequence, how many in each, offset)."""
     taken: Counter = Counter()

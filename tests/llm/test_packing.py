@@ -29,6 +29,37 @@ def test_bins_hold_the_histogram_and_beat_no_bound():
     assert better  # the search improves on best fit somewhere
 
 
+def test_bins_of_five_to_ten_pieces():
+    rng = random.Random(5)
+    for _ in range(5):
+        h = Counter()
+        for _ in range(20):  # full bins, cut at random
+            cuts = [0, *sorted(rng.sample(range(1, 4096), rng.randint(4, 9))), 4096]
+            h.update(b - a for a, b in zip(cuts, cuts[1:]))
+        first, best = packing.best_fit(h, 4096), packing.complete_bins(h, 4096)
+        assert contents(best) == h and all(sum(a * b for a, b in c) <= 4096 for c, _ in best)
+        n, m = (sum(k for _, k in b) for b in (first, best))
+        assert m == 20 < n
+
+
+def test_search_finds_the_least_number_of_bins():
+    def least(items, rooms, most):
+        if not items:
+            return True
+        x, rest = items[0], items[1:]
+        for i, room in enumerate(rooms):
+            if x <= room and room not in rooms[:i] and least(rest, [*rooms[:i], room - x, *rooms[i + 1 :]], most):
+                return True
+        return len(rooms) < most and least(rest, [*rooms, 30 - x], most)
+
+    rng = random.Random(6)
+    for _ in range(80):
+        h = Counter(rng.randint(2, 14) for _ in range(rng.randint(1, 14)))
+        m = sum(k for _, k in packing.complete_bins(h, 30))
+        items = sorted(h.elements(), reverse=True)
+        assert least(items, [], m) and not least(items, [], m - 1)
+
+
 def test_stretches_give_the_ids_of_the_tokenizer():
     tokens = packing.TokenBytes(packing.tokenizer_path(), remembered=20)
     texts = ["Plain words, don't%%% 12 3.", "a\x1cb c", "Σίσυφος ΟΔΟΣ.", "é éx ́", "<|endoftext|>a <|startoftext|>", "a b c\x85d", "", " \n ", "İstanbul K", "日本 語123", "STRASSEẞ!"]
