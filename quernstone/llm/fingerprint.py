@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import append_columns, texts
 from quernstone.llm.fastbytes import mixed, powers
 
-GRAM = 32
-WINDOW = 64
+#: Short, so that a text of a line or two still has several hashes: whatever is
+#: left of one of 19 code points when its last quarter is replaced shares one.
+GRAM = 8
+WINDOW = 8
 #: Grams that are hashed at a time; positions in them fit into 24 bits.
 BLOCK = 1 << 20
 #: Ranges of ids at most; beyond, ranges get longer.

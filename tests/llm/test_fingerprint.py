@@ -38,6 +38,19 @@ def test_shared_passages_are_found():
         assert np.intersect1d(fp.winnow(fp.points_of(a))[1], fp.winnow(fp.points_of(b))[1]).size
 
 
+def test_short_texts_stay_like_their_edited_copies():
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    for n in [*range(19, 100), 150, 400]:
+        likes = []
+        for _ in range(20):
+            a, b = text(n), text(n)
+            marks = [fp.winnow(fp.points_of(x))[1] for x in (a, fp.edited(a, b), b)]
+            likes.append(fp.likeness(*marks[:2]))
+            assert likes[-1] > 0 and fp.likeness(marks[0], marks[2]) < 0.1
+        assert n < 50 or np.mean(likes) > 0.4
+
+
 def check(rows, got):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     want = []
