@@ -4,8 +4,9 @@ The events of the standard library's streaming parser are gathered into lines,
 one for each block-level stretch of the page, with the characters of text and
 the tags of each. The text-to-tag ratio of the lines is smoothed with a Gaussian,
 and lines are clustered by a threshold, the standard deviation of the smoothed
-ratios. The container in which the lines of the content cluster hold most text is
-the content region. All its lines are kept, however short, but for those inside
+ratios. The article or main element in which the lines of the content cluster hold
+most text, with the other articles, is the content region; on pages without, it is
+the lowest container of all those lines. All its lines are kept, however short, but for those inside
 menus, headers, footers, asides, notices, adverts, forms and reader comments.
 """
 
@@ -168,31 +169,61 @@ def deviation(values: list[float]) -> float:
     return math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
 
 
+def weights(content: list[Line]) -> dict[int, int]:
+    """The text of the content cluster in each container."""
+    weight: dict[int, int] = {}
+    for x in content:
+        for n in x.path:
+            weight[n] = weight.get(n, 0) + len(x.text)
+    return weight
+
+
 def main_lines(html: str) -> list[str]:
     """The lines of the content region, in page order."""
     reader = LineReader()
     reader.feed(html)
     reader.close()
-    lines = [x for x in reader.lines if reader.beside.isdisjoint(x.path)]
-    if not lines:
+    if not reader.lines:
         return []
     ratios = smoothed([(len(x.text) - x.linked) / (x.tags + 1) for x in reader.lines])
     threshold = deviation(ratios)
-    content = [x for x, r in zip(reader.lines, ratios) if r >= threshold and reader.beside.isdisjoint(x.path)] or lines
-    # the text of the content cluster in each container; the innermost with most of it is the region
-    weight: dict[int, int] = {}
+    cluster = [x for x, r in zip(reader.lines, ratios) if r >= threshold]
+    shown = lambda rows: [x for x in rows if reader.beside.isdisjoint(x.path)]
+    lines = shown(reader.lines)
+    content = shown(cluster) or lines
+    weight = weights(content)
+    region = max((n for n in weight if reader.kinds[n] in ("article", "main")), key=lambda n: (weight[n], n), default=None)
+    if region is not None and weight[region] * 4 >= weight[0]:
+        parts = {region}
+        if reader.kinds[region] == "article":  # and those with content, or right beside it
+            above = {n: x.path[i - 1] for x in lines for i, n in enumerate(x.path) if reader.kinds[n] == "article"}
+            parts |= {n for n in above if n in weight or above[n] == above[region]}
+        return [x.text for x in lines if not parts.isdisjoint(x.path)]
+    # a container with most of the cluster isn't beside the article, whatever its class says
+    weight = weights([x for x in cluster if not (reader.beside - reader.doubtful).intersection(x.path)])
+    held = {n for n in reader.doubtful if weight.get(n, 0) * 2 > weight.get(0, 0)}
+    if not lines and not held:  # a word of an attribute, or a form, around the whole page
+        weight = weights(cluster)
+        held = {n for n in reader.beside if weight.get(n, 0) == weight.get(0) and reader.kinds[n] not in BESIDE - {"form"}}
+    reader.beside -= held
+    lines = shown(reader.lines)
+    content = shown(cluster) or lines
+    if not lines:
+        return []
+    content = [x for x in content if x.linked * 2 <= len(x.text)] or content  # smoothing raises links next to long text
+    # the lowest container of all content, and those above it whose other lines aren't mostly links
+    path = content[0].path
     for x in content:
-        for n in x.path:
-            weight[n] = weight.get(n, 0) + len(x.text)
-    named = [n for n in weight if reader.kinds[n] in ("article", "main")]
-    total = sum(len(x.text) for x in content)
-    region = max(named, key=lambda n: (weight[n], n), default=None)
-    if region is None or weight[region] * 4 < total:
-        region = max((n for n in weight if weight[n] * 10 >= total * 7), default=0)
-        inside = [x for x in lines if region in x.path]
-        if len(inside) == 1 and reader.kinds[region] not in ("div", "section", "td", "body"):
-            region = inside[0].path[max(0, inside[0].path.index(region) - 1)]
-    return [x.text for x in lines if region in x.path]
+        path = path[: next((i for i, (m, n) in enumerate(zip(path, x.path)) if m != n), min(len(path), len(x.path)))]
+    at = len(path) - 1
+    while at > 0 and reader.kinds[path[at - 1]] not in ("", "html", "body"):
+        other = [x for x in lines if path[at - 1] in x.path and path[at] not in x.path]
+        if sum(x.linked for x in other) * 2 > sum(len(x.text) for x in other):
+            break
+        at -= 1
+    if reader.kinds[path[at]] not in ("div", "section", "td", "body", "html", "") and sum(path[at] in x.path for x in lines) == 1:
+        at -= 1  # a line of its own has its neighbours beside it
+    return [x.text for x in lines if path[at] in x.path]
 
 
 def extract(pages: DataFrame, column: str = "html", keep_html: bool = False) -> DataFrame:

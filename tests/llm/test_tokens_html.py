@@ -82,3 +82,17 @@ def test_pages_as_rows(spark):
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert [r["n_chars"] for r in sorted(got, key=lambda r: r["n_chars"])] == [0, 0, 3, 3, 3, 249_999]
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_regions_keep_the_whole_article():
+    words = "The harbour lay quiet that morning and the boats had not yet gone out to sea. "
+    nav = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li></ul></nav>'
+    foot = "<footer><p>Imprint and terms</p></footer>"
+    page = lambda body: f"<html><body>{nav}{body}{foot}</body></html>"
+    intro, text = words.strip(), (words * 6).strip()
+    assert htmltext.main_lines(page(f"<div id=c><h1>Title</h1><div><p>{intro}</p></div><div><p>{text}</p><p>{text}</p></div></div>")) == ["Title", intro, text, text]
+    assert htmltext.main_lines(page(f"<article><p>{text}</p></article><article><p>{text}</p><p>{intro}</p></article><article><p>Short.</p></article>")) == [text, text, intro, "Short."]
+    for name in ("has-sidebar", "no-sidebar", "with-banner", "no-comments"):
+        assert htmltext.main_lines(page(f'<div class="{name}"><h1>Title</h1><p>{text}</p><p>{intro}</p></div>')) == ["Title", text, intro]
+    assert htmltext.main_lines(page(f'<div class="sidebar"><p>{intro}</p></div><div><h1>Title</h1><p>{text}</p></div>')) == ["Title", text]
+    assert htmltext.main_lines(page(f'<article><p>{intro}</p></article><div class="sidebar"><p>{text}</p><p>{text}</p></div>')) == [intro]
