@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a bare local session) the checkpoint folder of
-    the Spark context is used, and a local one is set if that is absent too.
+    Where the setting is absent the checkpoint folder of the Spark context is used.
+    A local session without either gets a local one; a cluster must name its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir("/tmp/quernstone-checkpoints")
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -42,34 +46,69 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that a Python worker handles at a time, but for a single longer one.
+SLICE_BYTES = 4 << 20
+
+
+def worker_state(owner: str | None, key: tuple = (), make: Callable | None = None):
+    """What make() built in this Python worker for a task of the same key before, or
+    now. One owner's state is kept at a time, so idle workers hold little; with no
+    owner there is none."""
+    held = sys.__dict__.setdefault("_quernstone_state", {})
+    for x in [x for x in held if x != (owner, key)]:
+        del held[x]
+    if owner is not None:
+        if (owner, key) not in held:
+            held[owner, key] = make()
+        return held[owner, key]
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker does."""
     return sys.__dict__.setdefault("_quernstone_cache", {})
 
 
+def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces whose strings and binaries come to limit bytes
+    at most, or of one row."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.RecordBatch], list]],
     drop: tuple[str, ...] = (),
+    stateful: bool = False,
 ) -> DataFrame:
     """Columns computed in Python, batch by batch, beside the columns of df.
 
     make() runs once a task and returns the function that turns a record batch
     into one list (or Arrow array) for each of fields. Columns named in drop
-    are read but not returned. A new field replaces a column of its name.
+    are read but not returned. A new field replaces a column of its name,
+    whatever the case of its letters. stateful: make asks for worker_state.
     """
-    new = {f.name for f in fields}
-    kept = [i for i, f in enumerate(df.schema) if f.name not in drop and f.name not in new]
+    new = {f.name.lower() for f in fields}
+    kept = [i for i, f in enumerate(df.schema) if f.name not in drop and f.name.lower() not in new]
     schema = T.StructType([df.schema[i] for i in kept] + list(fields))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if not stateful:
+            worker_state(None)
         out, step = to_arrow_schema(schema), make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             columns = [batch.column(i) for i in kept]
             for x in step(batch):
                 columns.append(x if isinstance(x, pa.Array) else pa.array(x, out.field(len(columns)).type))
@@ -89,6 +128,32 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+class Memory:
+    """A value for each of the keys that came last: between most and twice as many.
+    What was asked for in this generation or the one before is known."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def known(self, keys: Iterable, learn: Callable[[list], Iterable]) -> list:
+        """Values of distinct keys; learn gives those of unknown ones, in their order."""
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        out = [young.get(k) for k in keys]
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := old.get(keys[i])) is None:
+                    new.append(i)
+                else:
+                    out[i] = young[keys[i]] = x
+        for i, x in zip(new, learn([keys[i] for i in new])):
+            out[i] = x
+            if len(keys[i]) <= 1000:  # longer ones aren't worth remembering
+                young[keys[i]] = x
+        return out
+
+
 def only(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     """The rows of docs whose doc_id is among the distinct ids, or with keep=False
     is not. ids are broadcast if there are few enough, by a count."""
@@ -96,7 +161,7 @@ def only(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def own_prefix(df: DataFrame) -> str:
-    """A prefix with which no column of df begins."""
+    """A prefix with which no column of df begins, whatever the case."""
     prefix = "_q_"
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix = f"_{prefix}"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, raw_texts, stored, worker_cache
+from quernstone.llm.common import append_columns, raw_texts, stored, worker_state
 
 WINDOW = 13
 #: A-Z become lower case; all that is no word becomes a space.
@@ -60,15 +60,14 @@ def automaton(patterns: dict[bytes, list[int]], key: str):
     """The automaton of the patterns, built once in a worker."""
     import ahocorasick
 
-    cache = worker_cache()
-    if (found := cache.get("automaton")) and found[0] == key:
-        return found[1]
-    built = ahocorasick.Automaton()
-    for pattern, ids in patterns.items():
-        built.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, ids))
-    built.make_automaton()
-    cache["automaton"] = (key, built)
-    return built
+    def build():
+        built = ahocorasick.Automaton()
+        for pattern, ids in patterns.items():
+            built.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, ids))
+        built.make_automaton()
+        return built
+
+    return worker_state("automaton", (key,), build)
 
 
 def word_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -111,7 +110,7 @@ def _scan(df: DataFrame, patterns: dict[bytes, list[int]], prefix: str, first: b
 
         return step
 
-    return append_columns(df, fields, make, drop)
+    return append_columns(df, fields, make, drop, stateful=True)
 
 
 def decontaminate(
