@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import stored
+from quernstone.llm.common import BROADCAST_ROWS, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One star step on (u, v) with u > v. Large: each node hands its least
-    neighbour to the larger ones; small: to the smaller ones and itself."""
+    neighbour to the larger ones; small: to the smaller ones and itself. few: the
+    nodes can be broadcast, so that no task gets all edges of a hot one."""
     around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    both = around.join(least, "u")
+    both = around.join(F.broadcast(least) if few else least, "u")
     if large:
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         if row[0] == 0 or row == before:
             break
         before = row
-        edges = stored(_star(_star(edges, True), False), "components")
+        few = 2 * row[0] <= BROADCAST_ROWS
+        edges = stored(_star(_star(edges, True, few), False, few), "components")
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))

@@ -16,9 +16,10 @@ link is lost.
 
 Sets with equal signatures are compared with one leader of each signature
 first; the links found form components, and only pairs between components are
-compared thereafter. A histogram of each set bounds its difference from another
-from below and rules most of those pairs out before texts are fetched. Every
-link is decided on the whole sets.
+compared thereafter, each in one of the signatures that it shares. A histogram of
+each set and the parities of a finer one bound its difference from another from
+below and rule most of those pairs out before texts are fetched. Every link is
+decided on the whole sets.
 """
 
 from __future__ import annotations
@@ -34,19 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, only, raw_texts, stored
+from quernstone.llm.common import append_columns, only, raw_texts, slices, stored, worker_state
 from quernstone.llm.fastbytes import PowerTable, mixed, shingle_hashes
 from quernstone.llm.graph import components
 
 SHINGLE = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR of the union is shared.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Places of the histogram of a set's hashes.
-SKETCH = 128
+#: Places of the histogram of a set's hashes, and bytes of the parities of a finer one.
+HISTOGRAM, PARITIES = 128, 128
+SKETCH = HISTOGRAM + PARITIES
 #: Signatures that a bucket has at most, on average; buckets follow the input.
 BUCKET_SIGNATURES = 1_000_000
 #: Signatures after which a task hands its buckets on.
-CHUNK_SIGNATURES = 1_000_000
+CHUNK_SIGNATURES = 500_000
+#: Least signatures of a set by which others know that they have met it before.
+LEAST = 8
 
 
 class Band(NamedTuple):
@@ -139,8 +143,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_high", T.LongType()), T.StructField("set_low", T.LongType()), T.StructField("sketch", T.BinaryType())]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The histogram of a set, by upper bits, and the parities of another, by lower ones."""
+    coarse = np.minimum(np.bincount((hashes >> np.uint64(57)).astype(np.intp), minlength=HISTOGRAM), 255).astype(np.uint8)
+    fine = np.bincount((hashes & np.uint64(8 * PARITIES - 1)).astype(np.intp), minlength=8 * PARITIES)
+    return coarse.tobytes() + np.packbits((fine & 1).astype(bool)).tobytes()
+
+
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """docs without text: the size of each set, its 128-bit hash and its histogram."""
+    """docs without text: the size of each set, its 128-bit hash and its sketch."""
 
     def make():
         import xxhash
@@ -152,8 +163,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             for raw in raw_texts(batch):
                 h = shingle_hashes(raw, words, table)
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                sketch = np.minimum(np.bincount((h >> np.uint64(57)).astype(np.intp), minlength=SKETCH), 255).astype(np.uint8)
-                for x, y in zip(out, (len(h), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), sketch.tobytes())):
+                for x, y in zip(out, (len(h), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), sketch_of(h))):
                     x.append(y)
             return out
 
@@ -193,7 +203,8 @@ def signature_buckets(docs: DataFrame, buckets: int, words: int = SHINGLE) -> Da
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "ids", "counts", "signatures"])
 
-        for batch in batches:
+        worker_state(None)
+        for batch in slices(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch)):
                 if len(signs := signatures(shingle_hashes(raw, words, table))):
                     ids.append(doc)
@@ -238,7 +249,8 @@ def shared_signatures(blobs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array(owner[out])], names=["signature", "doc_id"])
 
         held = 0
-        for batch in batches:
+        worker_state(None)
+        for batch in slices(batches):
             for b, own, counts, lower in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     if signs:
@@ -258,10 +270,13 @@ def shared_signatures(blobs: DataFrame) -> DataFrame:
 
 
 def sketch_allows(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and histograms leave room for a link. Broadcasts."""
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1, dtype=np.int32)
+    """Whether sizes and sketches leave room for a link. Broadcasts."""
     sizes = DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b)
-    return sizes & ((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (n_a + n_b))
+    most = (DENOMINATOR - NUMERATOR) * (n_a + n_b) // (DENOMINATOR + NUMERATOR)
+    # parities differ only where an odd number of elements is in one set alone
+    odd = np.bitwise_count(a[..., HISTOGRAM:] ^ b[..., HISTOGRAM:]).sum(-1, dtype=np.int64)
+    apart = np.abs(a[..., :HISTOGRAM].astype(np.int16) - b[..., :HISTOGRAM].astype(np.int16)).sum(-1, dtype=np.int64)
+    return sizes & (np.maximum(odd, apart) <= most)
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -270,7 +285,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
@@ -287,8 +302,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = SHINGLE) -> DataFra
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        worker_state(None)
         table, last, left = PowerTable(), None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, raw_a, raw_b in zip(batch.column(0).to_pylist(), raw_texts(batch, "text_a"), raw_texts(batch, "text_b")):
                 if a != last:
@@ -318,25 +334,41 @@ def block_pairs(groups: DataFrame, sets: DataFrame, block: int = 2000) -> DataFr
     """Pairs between components in the same group that sketches leave room for.
 
     groups: (signature, doc_id, component). Groups are cut into blocks; a task
-    holds two blocks at a time, and only pairs that may link leave it.
+    holds two blocks at a time, and only pairs that may link leave it. Alike sets
+    share many signatures: a pair stays in a group if both sets have a lesser
+    signature in common among their LEAST least ones, so nearly all leave once,
+    from the least that they share.
     """
-    rows = groups.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    least = groups.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, LEAST).alias("least"))
+    rows = groups.join(sets.select("doc_id", "n_shingles", "sketch").join(least, "doc_id"), "doc_id")
     sizes = groups.groupBy("signature").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(sizes, "signature").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "part").alias("low"), F.greatest(i, "part").alias("high")))
-    rows = rows.withColumn("pair", F.explode(others)).select("signature", "pair.low", "pair.high", "part", "doc_id", "component", "n_shingles", "sketch")
+    rows = rows.withColumn("pair", F.explode(others)).select("signature", "pair.low", "pair.high", "part", "doc_id", "component", "n_shingles", "sketch", "least")
 
     def run(key, frame):
-        low, high = key[1].as_py(), key[2].as_py()
+        signature, low, high = key[0].as_py(), key[1].as_py(), key[2].as_py()
         part, doc, component, n = (frame.column(x).to_numpy() for x in ("part", "doc_id", "component", "n_shingles"))
         sketch = np.frombuffer(b"".join(frame.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        lesser = np.full((len(doc), LEAST), -1, np.int64)  # of its least signatures, those before this one
+        for row, x in zip(lesser, frame.column("least").to_pylist()):
+            x = [y for y in x if y < signature]
+            row[: len(x)] = x
+        other = np.where(lesser < 0, -2, lesser)  # what is not there is never in common
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        found = []
-        for i in left:
-            j = right[component[right] != component[i]]
-            j = j[doc[j] > doc[i]] if low == high else j
-            j = j[sketch_allows(n[i], sketch[i], n[j], sketch[j])]
-            found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
+        found, step = [], max(1, (1 << 16) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step, None]
+            open_ = component[rows] != component[right]
+            if low == high:
+                open_ &= doc[rows] < doc[right]
+            i, j = np.nonzero(open_)
+            i, j = rows[i, 0], right[j]
+            new = ~(lesser[i][:, :, None] == other[j][:, None, :]).any((1, 2))
+            i, j = i[new], j[new]
+            maybe = sketch_allows(n[i], sketch[i], n[j], sketch[j])
+            i, j = doc[i[maybe]], doc[j[maybe]]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
         a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
