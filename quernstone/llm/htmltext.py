@@ -6,8 +6,13 @@ the tags of each. The text-to-tag ratio of the lines is smoothed with a Gaussian
 and lines are clustered by a threshold, the standard deviation of the smoothed
 ratios. The article or main element in which the lines of the content cluster hold
 most text, with the other articles, is the content region; on pages without, it is
-the lowest container of all those lines. All its lines are kept, however short, but for those inside
-menus, headers, footers, asides, notices, adverts, forms and reader comments.
+the lowest container of all those lines. All its lines are kept, however short, but for
+those inside menus, headers, footers, asides, notices, adverts, forms and reader comments.
+
+Elements say so by their name. A word of a class, id or role only lowers what a
+container weighs: one whose name is made of such words alone stands beside the
+article unless it holds most of the content cluster, one that has other words in
+its name only if its text is mostly links.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split(
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup share sharing social comment comments reply replies disqus respond related recommended recommendations pagination pager login search toolbar complementary contentinfo dialog".split()
 )
+#: Words that say nothing of what a container holds.
+PLACE_WORDS = frozenset("area bar block bottom box button buttons col column container global group holder inner item items js left link links list module outer page panel primary region right row secondary section site slot strip text top unit user widget wrap wrapper zone".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SPACES = re.compile(r"\s+")
 SIGMA, RADIUS = 1.0, 2
@@ -66,7 +73,8 @@ class LineReader(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, unseen
         self.kinds: dict[int, str] = {0: ""}
         self.beside: set[int] = set()  # numbers of containers beside the article
-        self.doubtful: set[int] = set()  # those of them that only a word of an attribute says so of
+        self.doubtful: set[int] = set()  # those of them that only the words of a name say so of
+        self.hinted: set[int] = set()  # containers that have such words among others
         self.parts: list[str] = []
         self.tags = self.numbers = self.in_link = self.link_chars = 0
 
@@ -121,11 +129,16 @@ class LineReader(HTMLParser):
         if tag in BESIDE or tag == "header" and not any(name in ("article", "main") for name, _, _ in self.stack):
             self.beside.add(self.numbers)  # an article's own header holds its title
         elif tag not in ("html", "body", "main", "h1"):
-            words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in WORD.findall(v)}
-            if not words.isdisjoint(COMMENT_WORDS if tag in ("article", "header") else BESIDE_WORDS):
+            beside = COMMENT_WORDS if tag in ("article", "header") else BESIDE_WORDS
+            names = [x for k, v in attrs if k in ("class", "id", "role") and v for x in v.split()]
+            told = [w for w in ({w.lower() for w in WORD.findall(x)} for x in names) if not w.isdisjoint(beside)]
+            sure = [w for w in told if w <= beside | PLACE_WORDS]
+            if sure:
                 self.beside.add(self.numbers)
-                if words.isdisjoint(COMMENT_WORDS):
+                if all(w.isdisjoint(COMMENT_WORDS) for w in sure):
                     self.doubtful.add(self.numbers)
+            elif told:
+                self.hinted.add(self.numbers)
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -169,12 +182,12 @@ def deviation(values: list[float]) -> float:
     return math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
 
 
-def weights(content: list[Line]) -> dict[int, int]:
-    """The text of the content cluster in each container."""
+def weights(content: list[Line], linked: bool = False) -> dict[int, int]:
+    """The characters of lines in each container, or those of them in links."""
     weight: dict[int, int] = {}
     for x in content:
         for n in x.path:
-            weight[n] = weight.get(n, 0) + len(x.text)
+            weight[n] = weight.get(n, 0) + (x.linked if linked else len(x.text))
     return weight
 
 
@@ -189,6 +202,13 @@ def main_lines(html: str) -> list[str]:
     threshold = deviation(ratios)
     cluster = [x for x, r in zip(reader.lines, ratios) if r >= threshold]
     shown = lambda rows: [x for x in rows if reader.beside.isdisjoint(x.path)]
+    if reader.hinted:  # their words count if links do too
+        held, links = weights(reader.lines), weights(reader.lines, linked=True)
+        reader.beside |= {n for n in reader.hinted if links.get(n, 0) * 2 > held.get(n, 0)}
+    if reader.doubtful:  # the most of an article isn't beside it
+        held = weights(cluster)
+        own = {n: m for x in cluster for i, n in enumerate(x.path) if n in reader.doubtful for m in x.path[:i] if reader.kinds[m] in ("article", "main")}
+        reader.beside -= {n for n, m in own.items() if held[n] * 2 > held[m]}
     lines = shown(reader.lines)
     content = shown(cluster) or lines
     weight = weights(content)
@@ -231,8 +251,8 @@ def extract(pages: DataFrame, column: str = "html", keep_html: bool = False) ->
 
     White space inside a block is one space and blocks are joined by \\n. A null
     or empty page, and one without text, has an empty text. Repeated rows get
-    equal results. A column of pages whose name is that of a new column is
-    replaced.
+    equal results, and long pages are read whole; a table without rows gives none.
+    A column of pages whose name is that of a new column is replaced.
     """
 
     def make():
