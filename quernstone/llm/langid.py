@@ -26,17 +26,22 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % 4
 
 
+def held_out(doc_id: str | Column = "doc_id") -> Column:
+    """Whether a row is in the held-out fold; one without an id is in none."""
+    return F.coalesce(fold(doc_id) == HELD_OUT, F.lit(False))
+
+
 @dataclass
 class Settings:
     """window: bytes; widths, filters: of the convolution; samples: labelled rows
-    that training may see; windows_per_text: of each of them, spread evenly."""
+    that training may see; windows: of the windows of their whole texts, how many."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 12
     embedding: int = 6
     samples: int = 3000
-    windows_per_text: int = 4
+    windows: int = 12000
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
@@ -103,7 +108,7 @@ def log_probabilities(net: Network, data: np.ndarray, tables: list[np.ndarray])
 
 
 def train(texts: list[bytes], labels: list[str], settings: Settings) -> Network:
-    """Fits the network; with no rows it knows no language."""
+    """Fits the network to all windows of texts; with no rows it knows no language."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(settings.seed)
     widest, d = max(settings.widths), settings.embedding
@@ -118,9 +123,9 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Network:
         return net
     data, target = [], []
     for raw, label in zip(texts, labels):
-        data.append(windows_of(raw[: settings.window], settings.window)[0][0])
-        target.append(languages.index(label))
-    data, target = np.array(data), np.array(target)
+        data.append(windows_of(raw, settings.window)[0])
+        target += [languages.index(label)] * len(data[-1])
+    data, target = np.concatenate(data), np.array(target)
     names = ("embed", "filters", "bias", "out", "out_bias")
     first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
     step = 0
@@ -158,36 +163,40 @@ def train(texts: list[bytes], labels: list[str], settings: Settings) -> Network:
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Network:
     """A network from at most settings.samples rows with text and lang outside the
     held-out fold, those with the least xxhash64 of the id.
-    Of each it sees windows_per_text windows, spread evenly over the whole text."""
-    n, size, length = settings.windows_per_text, settings.window, F.length("text")
-    at = lambda i: (i * F.greatest(length - size, F.lit(0)) / F.lit(max(1, n - 1))).cast("int") + 1
+
+    Their whole texts are cut into windows as in prediction; of more than
+    settings.windows, those with the least hash of id and place count, so every
+    part of a text has the same chance.
+    """
+    size = settings.window
     rows = docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull())
     total = rows.count()  # reads no text
-    rows = rows.where(length > 0)
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.col("text"), at(i), F.lit(size))))
-    rows = least_hashed(rows.select("doc_id", "lang", cuts.alias("cuts")), total, settings.samples, "lang", "cuts").collect()
-    return train([c.encode() for r in rows for c in r["cuts"]], [r["lang"] for r in rows for _ in r["cuts"]], settings)
+    rows = least_hashed(rows.where(F.length("text") > 0).select("doc_id", "lang", "text"), total, settings.samples, "lang", "text")
+    raw = F.encode("text", "utf-8")
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / size).cast("int"))
+    cuts = rows.withColumn("raw", raw).select("doc_id", "lang", F.posexplode(F.transform(places, lambda i: F.substring(F.col("raw"), i * size + 1, F.lit(size)))).alias("place", "cut"))
+    cuts = cuts.orderBy(F.xxhash64("doc_id", "place"), "lang", "cut").limit(settings.windows).collect()
+    return train([bytes(r["cut"]) for r in cuts], [r["lang"] for r in cuts], settings)
 
 
 def predict(docs: DataFrame, net: Network, prefix: str = "", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and score (0 to 1), behind prefix.
 
-    A null text, one without letters, and any text if the network knows no
-    language, is ``und`` with score 0. Equal texts get equal rows. A column of
-    docs whose name is that of a new column is replaced.
+    A null or empty text, one in which no character is a letter (str.isalpha),
+    and any text if the network knows no language, is ``und`` with score 0. Equal
+    texts get equal rows, however long; a table without rows gives none. A column
+    of docs whose name is that of a new column is replaced.
     """
     fields = [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]
     size, block = net.settings.window, 256
 
     def make():
-        import re
-
-        letter, tables = re.compile(r"[^\W\d_]"), pair_tables(net)
+        tables = pair_tables(net)
 
         def step(batch):
             raws = raw_texts(batch)
             names, scores = [UNKNOWN] * len(raws), [0.0] * len(raws)
-            rows = [i for i, raw in enumerate(raws) if net.languages and letter.search(raw.decode())]
+            rows = [i for i, raw in enumerate(raws) if net.languages and any(map(str.isalpha, raw.decode()))]
             total = np.zeros((len(raws), len(net.languages)))
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
 

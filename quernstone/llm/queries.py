@@ -46,13 +46,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = quality.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    docs = documents(spark, sf_dir).withColumn("held_out", langid.fold() == langid.HELD_OUT)
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     return quality.score(docs, machine, keep_text=False)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    docs = documents(spark, sf_dir).withColumn("held_out", langid.fold() == langid.HELD_OUT)
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     return langid.predict(docs, net, keep_text=False)
 
 
