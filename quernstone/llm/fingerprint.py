@@ -14,14 +14,16 @@ dealt to the range before it, so one shuffle brings neighbours together.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import append_columns, texts
+from quernstone.llm.common import append_columns, slices, texts
 from quernstone.llm.fastbytes import mixed, powers
 
 #: Short, so that a text of a line or two still has several hashes: whatever is
@@ -30,8 +32,9 @@ GRAM = 8
 WINDOW = 8
 #: Grams that are hashed at a time; positions in them fit into 24 bits.
 BLOCK = 1 << 20
-#: Ranges of ids at most; beyond, ranges get longer.
-MOST_RANGES = 2000
+#: Ranges of ids at most, which bounds what the plan holds of their ends; beyond
+#: that they get longer. A task goes through its range a slice at a time.
+MOST_RANGES = 100_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -129,13 +132,27 @@ def ranges(docs: DataFrame, rows_per_range: int) -> list[int]:
     n = min(-(-row[0] // rows_per_range), MOST_RANGES)
     if n < 2 or row[1] is None:
         return []
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
-    for_cut = F.array(*[F.lit(int(x)) for x in cuts])
-    part = F.size(F.filter(for_cut, lambda x: x <= F.col("doc_id")))
-    heads = docs.where("doc_id IS NOT NULL").groupBy(part.alias("part")).agg(F.min("doc_id").alias("head")).collect()
+    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))})
+    heads = docs.where("doc_id IS NOT NULL").groupBy(place_among(cuts, F.col("doc_id")).alias("part")).agg(F.min("doc_id").alias("head")).collect()
     return sorted(r["head"] for r in heads)
 
 
+def _longs(values: Iterable[int]) -> Column:
+    """A constant array, from one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def place_among(ends: list[int], value: Column) -> Column:
+    """How many of the sorted ends are at most value: first by steps, then inside one."""
+    step = max(1, math.isqrt(len(ends)))
+    groups = [ends[i : i + step] for i in range(0, len(ends), step)]
+    if not groups:
+        return F.lit(0)
+    group = F.size(F.filter(_longs(g[0] for g in groups), lambda x: x <= value))
+    inside = F.get(F.array(*[_longs(g) for g in groups]), group - 1)
+    return F.when(group > 0, (group - 1) * step + F.size(F.filter(inside, lambda x: x <= value))).otherwise(0)
+
+
 def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, rows_per_range: int = 4000) -> DataFrame:
     """The fingerprint of each document (doc_id, text), that of its edited text and
     their likeness, and its likeness to the next document.
@@ -147,15 +164,14 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, r
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     heads = ranges(docs.select("doc_id"), rows_per_range)
     least = docs.agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63))))).first()[0]
-    starts = F.array(*[F.lit(x) for x in heads[1:]]) if len(heads) > 1 else F.array().cast("array<bigint>")
     n = max(1, len(heads))
-    part = F.size(F.filter(starts, lambda x: x <= F.col("doc_id"))) if len(heads) > 1 else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(place_among(heads[1:], F.col("doc_id")))
+    starts = _longs(heads[1:]) if len(heads) > 1 else F.array().cast("array<bigint>")
     # a head goes to the range before its own too, and the first of all to the last
-    also = F.when(F.coalesce("doc_id", F.lit(-(1 << 63))) == least, F.lit(n - 1)).when(F.array_contains(starts, F.col("doc_id")), F.col("part") - 1)
+    also = F.when(F.coalesce("doc_id", F.lit(-(1 << 63))) == least, F.lit(n - 1)).when((F.col("part") > 0) & (F.get(starts, F.col("part") - 1) == F.col("doc_id")), F.col("part") - 1)
     dealt = docs.withColumn("part", part).withColumn("copy", F.explode(F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.when(also.isNotNull(), F.struct(also.alias("part"), F.lit(True).alias("extra")))))))
     dealt = dealt.select(F.col("copy.part").alias("part"), F.col("copy.extra").alias("extra"), "doc_id", "text")
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "extra", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "extra", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches):
         part, last, extra_done, held = None, None, True, []
@@ -171,7 +187,7 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, r
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             for p, extra, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = text or ""
                 if p != part:
