@@ -37,6 +37,24 @@ def test_runs_are_merged_by_level(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
     total = {r["n_docs"]: r["last_doc"] for r in runs.totals().collect()}
     assert total[3] == 2 and runs.totals().count() == 4
+    assert [x.count() for x in runs.all_runs()] == [1, 3] and [x.count() for x in runs.later] == [1, 1]  # a key is in one run
+
+
+def test_a_batch_meets_the_runs_without_a_shuffle_of_theirs(spark):
+    runs = LineRuns(spark, fan_in=2, buckets=4)
+    frame = lambda i: line_keys(spark.createDataFrame([(i, f"{j} " * 40) for j in range(20)], "doc_id long, text string"))
+    runs.add(frame(0))
+    one, other = runs.all_runs()[0], runs._written(runs.all_runs()[0].where("false"), "line_run", False)
+    hint = lambda df: df.hint("merge")  # noqa: E731 - as large tables are joined
+    plan = hint(one).join(hint(other), ["key_high", "key_low"], "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", "z")], "doc_id long, text string, KEPT string, `drop` string, lost_by string")
+    got = drop_repeated_lines(docs)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "drop", "lost_by", "kept", "n_lines", "n_dropped", "kept_sha256"])
+    assert got.first()["kept"] == "a" and got.first()["drop"] == "y"
 
 
 def test_odd_rows(spark, odd, none):
