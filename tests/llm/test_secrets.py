@@ -1,6 +1,10 @@
 import re
+from unittest.mock import patch
 
-from quernstone.llm.secrets import RULES, BlobLedger, find_secrets, version_of
+from quernstone.llm import secrets
+from quernstone.llm.secrets import RULES, BlobLedger, find_secrets, findings_of, version_of
+
+add = BlobLedger._add
 
 ASSIGN = re.compile(r"(?a:(?i:(password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
@@ -31,17 +35,31 @@ def test_against_brute_force(spark):
     assert got == {i: brute(t) for i, t in rows}
 
 
-def test_ledger_scans_a_blob_once(spark):
-    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
-    ledger = BlobLedger(spark)
-    ledger.scan(frame((1, TEXTS[0]), (2, TEXTS[1]), (3, TEXTS[0])))
-    assert ledger.scanned[0].count() == 2 and ledger.findings[0].select("blob").distinct().count() == 2
-    paths = ledger.scan(frame((1, TEXTS[4]), (4, TEXTS[1])))
-    assert paths.count() == 2 and ledger.scanned[1].count() == 1 and ledger.findings[1].select("blob").distinct().count() == 1
+def test_ledger_scans_a_blob_once(spark, tmp_path):
+    frame = lambda session, *rows: session.createDataFrame(rows, "doc_id long, text string")
+    folder = str(tmp_path / "ledger")
+    ledger = BlobLedger(spark, folder=folder)
+    ledger.scan(frame(spark, (1, TEXTS[0]), (2, TEXTS[1]), (3, TEXTS[0])))
+    assert ledger.scanned().count() == 2 and ledger.found().select("blob").distinct().count() == 2
+    # another session opens it again: it scans the new text alone, and has the findings of the others
+    later = spark.newSession()
+    again = BlobLedger(later, folder=folder)
+    scanned = []
+    with patch.object(secrets, "findings_of", lambda blobs, rules: scanned.append(blobs.count()) or findings_of(blobs, rules)):
+        got = find_secrets(frame(later, (1, TEXTS[4]), (4, TEXTS[1]), (5, TEXTS[1])), again, batches=1)
+    assert scanned == [1] and again.scanned().count() == 3
+    assert {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in got.collect()} == {1: brute(TEXTS[4]), 4: brute(TEXTS[1]), 5: brute(TEXTS[1])}
     assert version_of(RULES) != version_of(RULES[:2])
-    other = BlobLedger(spark, RULES[:2])
-    other.scanned = ledger.scanned
-    assert other.unseen(paths.select("blob")).count() == 2  # of other rules
+    other = BlobLedger(spark, RULES[:2], folder)
+    assert other.unseen(ledger.scanned()).count() == 3 and other.found().count() == 0  # of other rules
+
+
+def test_findings_of_a_scan_that_was_cut_short_count_once(spark, tmp_path):
+    frame = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
+    ledger = BlobLedger(spark, folder=str(tmp_path))
+    with patch.object(BlobLedger, "_add", lambda self, name, rows: None if name == "scanned" else add(self, name, rows)):
+        ledger.scan(frame)
+    assert [tuple(x) for x in find_secrets(frame, ledger, batches=1).first()["spans"]] == brute(TEXTS[0])
 
 
 def test_odd_rows(odd, none):
