@@ -63,14 +63,10 @@ def worker_state(owner: str | None, key: tuple = (), make: Callable | None = Non
         return held[owner, key]
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker does."""
-    return sys.__dict__.setdefault("_quernstone_cache", {})
-
-
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces whose strings and binaries come to limit bytes
-    at most, or of one row."""
+    """The rows of batches in pieces whose strings and binaries come to about limit
+    bytes, and to more only where one row does."""
+    held, waiting = [], 0
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:
@@ -79,9 +75,34 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         ends, at = np.cumsum(size), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(at, stop - at)
-            at = stop
+            stop = int(np.searchsorted(ends, before + limit - waiting, "right"))
+            if stop > at or not held:
+                stop = max(at + 1, stop)
+                held.append(batch.slice(at, stop - at))
+                waiting += int(ends[stop - 1] - before)
+                at = stop
+            if at < batch.num_rows:
+                yield _joined(held)
+                held, waiting = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+#: Rows of an Arrow batch between the JVM and Python; 10,000, Spark's default, are too
+#: many for long texts, of which the JVM, the worker and the pipe hold a batch each.
+BATCH_ROWS = 2000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_ROWS, unless the session has a size of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def append_columns(
@@ -114,7 +135,7 @@ def append_columns(
                 columns.append(x if isinstance(x, pa.Array) else pa.array(x, out.field(len(columns)).type))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, out)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -6,9 +6,10 @@ each occurrence marks the words that it covers, and the marked words lead back
 to code points of the original text.
 
 The automaton is sent to the executors, so its patterns have a proven bound:
-items are taken in blocks of at most ``max_pattern_bytes`` of patterns, and
-each further block is a further scan over what the one before has stored.
-An ordinary benchmark is one block.
+items are taken in blocks of at most ``max_pattern_bytes`` of patterns. An
+ordinary benchmark is one block. With more, each block is a scan of the texts that
+leaves only the hits of those that have any, by the hash of the text, and the hits
+of all blocks meet the documents at the end.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, raw_texts, stored, worker_state
+from quernstone.llm.common import BROADCAST_ROWS, append_columns, own_prefix, raw_texts, stored, worker_state
 
 WINDOW = 13
 #: A-Z become lower case; all that is no word becomes a space.
@@ -79,31 +80,40 @@ def word_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[i
     return points[edges[0::2][starts]].tolist(), points[edges[1::2][ends - 1]].tolist()
 
 
-def _scan(df: DataFrame, patterns: dict[bytes, list[int]], prefix: str, first: bool, drop: tuple[str, ...]) -> DataFrame:
+NAMES = ("items", "word_starts", "word_ends", "hit_starts", "hit_ends")
+
+
+def _scan(df: DataFrame, patterns: dict[bytes, list[int]], n_words: str, names: list[str], earlier: bool, drop: tuple[str, ...]) -> DataFrame:
+    """df with the count of words and NAMES, called names, of what occurs of the
+    patterns and, if there are such columns, of what was found earlier."""
     key = hashlib.sha256(repr(sorted(patterns.items())).encode()).hexdigest()
-    names = [f"{prefix}{x}" for x in ("n_words", "items", "word_starts", "word_ends", "hit_starts", "hit_ends")]
-    fields = [T.StructField(names[0], T.LongType()), *(T.StructField(x, HITS) for x in names[1:])]
+    fields = [T.StructField(n_words, T.LongType()), *(T.StructField(x, HITS) for x in names)]
 
     def make():
         machine = automaton(patterns, key) if patterns else None
 
         def step(batch):
-            out: list[list] = [[] for _ in names]
-            old = None if first else [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in names]
+            out: list[list] = [[] for _ in fields]
+            old = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in names] if earlier else None
             for row, raw in enumerate(raw_texts(batch)):
                 words = words_of(raw)
-                items, *runs = ([], [], [], [], []) if first else [x[row] for x in old[1:]]
+                items, *runs = ([], [], [], [], []) if old is None else [x[row] or [] for x in old]
+                found = []
                 if machine is not None and words:
                     normal = b" " + b" ".join(words) + b" "
-                    if found := list(machine.iter(normal.decode("latin-1"))):
+                    found = list(machine.iter(normal.decode("latin-1")))
+                if found or runs[0]:
+                    covered = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(covered, runs[0], 1)
+                    np.add.at(covered, runs[1], -1)
+                    if found:
                         spaces = np.cumsum(np.frombuffer(normal, np.uint8) == 0x20)
                         last = spaces[[e for e, _ in found]] - 1
-                        covered = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(covered, [*(last - [n for _, (n, _) in found]), *runs[0]], 1)
-                        np.add.at(covered, [*last, *runs[1]], -1)
-                        edges = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(covered) > 0))))
-                        runs = [edges[0::2].tolist(), edges[1::2].tolist(), *word_spans(raw, edges[0::2], edges[1::2])]
-                        items = sorted({i for _, (_, ids) in found for i in ids}.union(items))
+                        np.add.at(covered, last - [n for _, (n, _) in found], 1)
+                        np.add.at(covered, last, -1)
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(covered) > 0))))
+                    runs = [edges[0::2].tolist(), edges[1::2].tolist(), *word_spans(raw, edges[0::2], edges[1::2])]
+                    items = sorted({i for _, (_, ids) in found for i in ids}.union(items))
                 for x, y in zip(out, (len(words), items, *runs)):
                     x.append(y)
             return out
@@ -132,18 +142,33 @@ def decontaminate(
 
     A null or empty text has no words. Items that lack an id or a text, or have
     no words, never occur; rows of one item id are one item. Repeated documents
-    get equal rows, an empty table gives an empty one. A column of docs whose
-    name is that of a new column is replaced.
+    get equal rows, long texts are scanned whole, an empty table gives an empty
+    one. A column of docs whose name is that of a new column, whatever the case of
+    its letters, is replaced; all others stay.
     """
-    found, starts, ends = (f"{prefix}{x}" for x in ("items", "word_starts", "word_ends"))
+    own = own_prefix(docs)
+    names = [f"{prefix}items", f"{own}starts", f"{own}ends", f"{prefix}hit_starts", f"{prefix}hit_ends"]
     blocks = pattern_blocks(items, window, max_pattern_bytes)
-    df, first, block = docs, True, next(blocks, {})
-    while block is not None:
-        later = next(blocks, None)
-        df = _scan(df, block, prefix, first, () if keep_text or later is not None else ("text",))
-        if later is not None:
-            df = stored(df, "decontaminate")
-        first, block = False, later
+    block, later = next(blocks, {}), next(blocks, None)
+    drop = () if keep_text else ("text",)
+    if later is None:
+        df = _scan(docs, block, f"{prefix}n_words", names, False, drop)
+    else:
+        named = docs.withColumn(f"{own}key", F.sha2("text", 256))
+        inner = [f"{own}{x}" for x in NAMES]  # names that no column of docs has
+        hits = None
+        while block is not None:
+            one = _scan(named.select(f"{own}key", "text"), block, f"{own}n", inner, False, ("text",)).where(F.size(inner[0]) > 0)
+            one = stored(one.drop(f"{own}n").dropDuplicates([f"{own}key"]), "benchmark-hits")
+            hits = one if hits is None else hits.unionByName(one)
+            block, later = later, next(blocks, None)
+        hits = hits.groupBy(f"{own}key").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in inner])
+        few = hits.count() <= BROADCAST_ROWS
+        df = named.join(F.broadcast(hits) if few else hits, f"{own}key", "left").drop(f"{own}key")
+        df = _scan(df, {}, f"{prefix}n_words", inner, True, drop)
+        clash = {n.lower() for n in names}
+        df = df.drop(*[c for c in df.columns if c.lower() in clash]).withColumnsRenamed(dict(zip(inner, names)))
+    found, starts, ends = names[:3]
     hit, words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
     covered = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
     df = df.withColumns({f"{prefix}n_hit": covered, f"{prefix}n_items": F.size(found).cast("long")})

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import append_columns, slices, texts
+from quernstone.llm.common import append_columns, map_batches, slices, texts
 from quernstone.llm.fastbytes import mixed, powers
 
 #: Short, so that a text of a line or two still has several hashes: whatever is
@@ -202,4 +202,4 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, r
                     yield out()
         yield out()
 
-    return dealt.mapInArrow(run, RESULT)
+    return map_batches(dealt, run, RESULT)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, own_prefix, raw_texts, shared_folder, slices, stored, worker_state
+from quernstone.llm.common import BROADCAST_ROWS, append_columns, map_batches, own_prefix, raw_texts, shared_folder, slices, stored, worker_state
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -56,7 +56,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     low.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, high, low)], names=KEYS.names)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, KEYS)
+    return map_batches(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text"), run, KEYS)
 
 
 class LineRuns:
@@ -128,8 +128,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     runs = LineRuns(spark, buckets=max(16, -(-keys.count() // BUCKET_KEYS)))
     for batch in range(batches):
         runs.add(keys.where(F.col("batch") == batch))
-    often = runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
-    lost = keys.join(often, KEY).where("doc_id <> last_doc")
+    often = stored(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "lines-often")
+    few = often.count() <= BROADCAST_ROWS  # else a join by key, in which a hot one can be split
+    lost = keys.join(F.broadcast(often) if few else often, KEY).where("doc_id <> last_doc")
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
 
 

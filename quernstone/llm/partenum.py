@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, only, raw_texts, slices, stored, worker_state
+from quernstone.llm.common import append_columns, map_batches, only, raw_texts, slices, stored, worker_state
 from quernstone.llm.fastbytes import PowerTable, mixed, shingle_hashes
 from quernstone.llm.graph import components
 
@@ -216,7 +216,7 @@ def signature_buckets(docs: DataFrame, buckets: int, words: int = SHINGLE) -> Da
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOBS)
+    return map_batches(docs.select("doc_id", "text"), run, BLOBS)
 
 
 def shared_signatures(blobs: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = SHINGLE) -> DataFra
             if any(keep):
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def distinct_groups(groups: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, least_hashed, raw_texts
+from quernstone.llm.common import append_columns, least_hashed, map_batches, raw_texts, slices
 from quernstone.llm.fastbytes import PowerTable, word_hashes
 from quernstone.llm.langid import HELD_OUT, fold
 
@@ -147,20 +147,22 @@ def score_of(machine: Machine, found: tuple[np.ndarray, np.ndarray, np.ndarray])
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Machine:
     """A machine from at most settings.samples labelled documents outside the
     held-out fold, those with the least xxhash64 of the id. Their whole texts
-    count; only their features reach the driver."""
-    chosen = labels.where((fold() != HELD_OUT) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    count; only their features reach the driver. Rows of one id are one document,
+    with the least of their texts; repeated labels count once. Without rows the
+    machine gives every text the same score."""
+    chosen = labels.where((fold() != HELD_OUT) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
     chosen = least_hashed(chosen, chosen.count(), settings.samples, "label")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     buckets = settings.buckets
 
     def run(batches):
         table = PowerTable()
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(raw, buckets, table) for raw in raw_texts(batch)]
             columns = [[f[i].tolist() for f in found] for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.list_(pa.float64())), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.float64()))], names=["doc_id", "label", "stats", "places", "shares"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, stats array<double>, places array<long>, shares array<double>")
+    got = map_batches(rows, run, "doc_id long, label int, stats array<double>, places array<long>, shares array<double>")
     got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["label"], r["stats"]))
     words = np.zeros((len(got), buckets))
     for row, r in zip(words, got):
@@ -173,8 +175,8 @@ def score(docs: DataFrame, machine: Machine, prefix: str = "", keep_text: bool =
     behind prefix.
 
     A null text is empty, and an empty text has the score of its statistics.
-    Equal texts get equal scores. A column of docs whose name is that of a new
-    column is replaced.
+    Equal texts get equal scores, however long; a table without rows gives none. A
+    column of docs whose name is that of a new column is replaced.
     """
     fields = [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())]
     buckets = machine.settings.buckets

@@ -50,3 +50,13 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate(none, items).count() == 0
     empty = decontaminate(odd, spark.createDataFrame([], SCHEMA)).collect()
     assert len(empty) == 11 and not any(r["contaminated"] for r in empty)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y", "z")], "doc_id long, text string, ITEMS string, word_starts string, `drop` string")
+    items = spark.createDataFrame([(1, "one"), (2, "two")], SCHEMA)
+    for bound in (32 << 20, 1):
+        got = decontaminate(docs, items, max_pattern_bytes=bound)
+        assert sorted(got.columns) == sorted(["doc_id", "text", "word_starts", "drop", "n_words", "items", "hit_starts", "hit_ends", "n_hit", "n_items", "contaminated"])
+        r = got.first()
+        assert list(r["items"]) == [1, 2] and r["word_starts"] == "y" and r["n_hit"] == 2

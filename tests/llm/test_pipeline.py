@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from quernstone.llm import packing
 from quernstone.llm.common import table
@@ -42,7 +44,7 @@ def test_stages_take_effect(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(seen["benchmark"])
     tokens = packing.TokenBytes(packing.tokenizer_path())
-    assert all(sum(p["length"] for p in packed if p["doc_id"] == i) == len(tokens.encode([r["text"]])[0]) // 4 + 1 for i, r in list(seen["benchmark"].items())[:5])
+    assert all(sum(p["length"] for p in packed if p["doc_id"] == i) == len(tokens.encode(pa.array([r["text"]]))[0]) // 4 + 1 for i, r in list(seen["benchmark"].items())[:5])
 
 
 def test_odd_rows_pass_every_stage(spark, odd, tmp_path):
