@@ -15,18 +15,17 @@ the numbers lead to places in sequences.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from typing import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import stored, texts, worker_cache
+from quernstone.llm.common import Memory, map_batches, slices, stored, worker_state
 
 CAPACITY = 4096
 END = 1
@@ -47,66 +46,76 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Stretches of text whose ids a worker remembers.
+REMEMBERED = 400_000
+
+
 class TokenBytes:
-    """Little-endian 32-bit token ids of texts, remembered by stretches between white space.
+    """Little-endian 32-bit token ids of texts, by stretches between ASCII white space.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    those of its stretches in order. A text with a control character that Python
-    takes for white space and the tokenizer does not is encoded as a whole.
+    The tokenizer drops white space, lowers case and never joins across white space
+    or from a letter to a mark, so a text's ids are those of its stretches in order,
+    with A-Z in lower case and a space between an ASCII letter and a mark; each
+    distinct one of many texts is encoded once. An apostrophe is no mark here, for
+    the tokenizer joins some letters to it.
     """
 
-    #: Fixed: ASCII marks, but for the apostrophe, which the tokenizer joins to letters.
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    MARK_AFTER_LETTER = r"([a-z])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~])"
 
-    def __init__(self, path: str, remembered: int = 2_000_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.cache: dict[str, bytes] = {"": b""}
-        self.odd = re.compile("[\x1c-\x1f]")
-
-    def _learn(self, new: set[str]) -> None:
-        """Remembers new stretches. Letters and the ASCII marks after them are encoded
-        apart, as the tokenizer does, and letters in lower case."""
-        cache, words, made = self.cache, set(), []
-        for p in new:
-            letters = p.rstrip(self.MARKS)
-            if letters.isalpha() and (letters.isascii() or "\u03a3" not in letters and is_normalized("NFC", letters)):
-                low, marks = letters.lower(), p[len(letters) :]
-                if low != p:
-                    made.append((p, low, marks))
-                if marks and marks not in cache:
-                    words.add(marks)
-            else:
-                low = p
-            if low not in cache:
-                words.add(low)
-        listed = list(words)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = array("I", e.ids).tobytes()
-        for p, low, marks in made:
-            cache[p] = cache[low] + cache[marks] if marks else cache[low]
-
-    def encode(self, group: list[str]) -> list[bytes]:
-        if len(self.cache) > self.remembered:
-            self.cache.clear()
-            self.cache[""] = b""
-        parts = [[x] if self.odd.search(x) else x.split() for x in group]
-        if new := {p for each in parts for p in each if p not in self.cache}:
-            self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, each)) for each in parts]
-        for p in new:
-            if len(p) > 1000:  # not worth remembering
-                del self.cache[p]
+        self.tokenizer, self.memory = Tokenizer.from_file(path), Memory(remembered)
+
+    def _encode(self, words: list[str], letters: bool) -> list[bytes]:
+        """The ids of each. Words of letters only are one pre-token each, so many are
+        encoded as one text, whose ids say which of them they belong to."""
+        out, step = [], 4096
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            if letters:
+                e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                word = np.array(e.word_ids, np.int64)
+                if len(word) and word[-1] == len(part) - 1:
+                    raw = np.array(e.ids, "<u4").tobytes()
+                    ends = (4 * np.searchsorted(word, np.arange(len(part)), "right")).tolist()
+                    out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+                    continue
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of new stretches."""
+        out: list[bytes] = [b""] * len(new)
+        letters = [x.isalpha() and (x.isascii() or x.lower().isalpha()) for x in new]
+        for kind in (True, False):
+            rows = [i for i, x in enumerate(letters) if x is kind]
+            for i, ids in zip(rows, self._encode([new[i] for i in rows], kind)):
+                out[i] = ids
+        return out
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of each string; null is empty."""
+        column = pc.fill_null(column, "")
+        spread = pc.replace_substring_regex(pc.ascii_lower(column), self.MARK_AFTER_LETTER, r"\1 \2")
+        # names of special tokens, which the tokenizer finds in texts, stay as they are
+        stretches = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(column, "<|"), column, spread))
+        coded = stretches.flatten().dictionary_encode()
+        known = self.memory.known(coded.dictionary.to_pylist(), self._learn)
+        size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+        every = np.frombuffer(b"".join(known), "<u4")
+        which = coded.indices.to_numpy()
+        n, first = size[which], (np.cumsum(size) - size)[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(ends[-1])
+        at += np.repeat(first - ends[:-1], n)
+        ids = every[at].tobytes()
+        ends = (4 * ends[np.concatenate(([0], np.cumsum(stretches.value_lengths().to_numpy())))]).tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
 
 PIECE = [
     T.StructField("piece", T.IntegerType()),
@@ -130,28 +139,19 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        cache = worker_cache()  # words come again in a worker's next task
-        tokens = cache.get(("token bytes", path)) or cache.setdefault(("token bytes", path), TokenBytes(path))
+        tokens = worker_state("token bytes", (path,), lambda: TokenBytes(path))  # words come again in a worker's next task
         out, last = to_arrow_schema(schema), np.array([end], "<u4").tobytes()
-        for batch in batches:
-            doc_ids, contents = batch.column(0).to_pylist(), texts(batch)
-            at = 0
-            while at < len(contents):
-                stop, size = at, 0
-                while stop < len(contents) and (stop == at or size + len(contents[stop]) <= 2_000_000):
-                    size += len(contents[stop])
-                    stop += 1
-                rows: list[list] = [[] for _ in out]
-                for doc, ids in zip(doc_ids[at:stop], tokens.encode(contents[at:stop])):
-                    ids += last
-                    for n, a in enumerate(range(0, len(ids), width)):
-                        part = ids[a : a + width]
-                        for x, y in zip(rows, (doc, n, a // 4, len(part) // 4, zlib.crc32(part), part)):
-                            x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, out)], schema=out)
-                at = stop
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+        for batch in slices(batches, 8 << 20):  # the more texts, the fewer distinct words for each
+            rows: list[list] = [[] for _ in out]
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1))):
+                ids += last
+                for n, a in enumerate(range(0, len(ids), width)):
+                    part = ids[a : a + width]
+                    for x, y in zip(rows, (doc, n, a // 4, len(part) // 4, zlib.crc32(part), part)):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, out)], schema=out)
+
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Bin, int]]:

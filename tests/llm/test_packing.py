@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from quernstone.llm import packing
 
@@ -62,9 +63,9 @@ def test_search_finds_the_least_number_of_bins():
 
 def test_stretches_give_the_ids_of_the_tokenizer():
     tokens = packing.TokenBytes(packing.tokenizer_path(), remembered=20)
-    texts = ["Plain words, don't%%% 12 3.", "a\x1cb c", "Σίσυφος ΟΔΟΣ.", "é éx ́", "<|endoftext|>a <|startoftext|>", "a b c\x85d", "", " \n ", "İstanbul K", "日本 語123", "STRASSEẞ!"]
+    texts = ["Plain words, don't%%% 12 3.", "a\x1cb c", "Σίσυφος ΟΔΟΣ.", "é éx ́", "<|endoftext|>a <|startoftext|>", "a b c\x85d", "", " \n ", "İstanbul K", "日本 語123", "STRASSEẞ!", "<|ENDOFTEXT|>A. <|endOfText|>", "don't, it'S. x'd... a.b,c [it] e.g.", "ᄀ\u1161\u11a8 \u1100\u1161", "A\u0301B e\u0301,", "snake_case-and|so", "\x0ba\x0cb\x85c\u2028d\u00a0e", "x" * 5000]
     for _ in range(2):
-        for text, got in zip(texts, tokens.encode(texts)):
+        for text, got in zip(texts, tokens.encode(pa.array(texts))):
             assert np.frombuffer(got, "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -83,7 +84,7 @@ def test_packing_of_documents(spark, odd, none):
             at += length
         assert at <= capacity
     for d in odd.collect():
-        ids = tokens.encode([d["text"] or ""])[0] + (1).to_bytes(4, "little")
+        ids = tokens.encode(pa.array([d["text"]], pa.string()))[0] + (1).to_bytes(4, "little")
         want = [(i, a // 4, len(ids[a : a + 256]) // 4, zlib.crc32(ids[a : a + 256])) for i, a in enumerate(range(0, len(ids), 256))]
         got = sorted({(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by_doc[d["doc_id"]]})
         assert got == want
