@@ -46,6 +46,10 @@ RULES = (
 )
 
 
+#: Names of blobs that are broadcast at most; a name is 64 digits.
+FEW_BLOBS = 250_000
+
+
 def version_of(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
@@ -125,7 +129,7 @@ class BlobLedger:
         named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
         paths = stored(named.select("doc_id", "blob"), "blob-paths")
         new = stored(self.unseen(paths.select("blob").distinct()), "blobs-unseen")
-        few = new.count() <= BROADCAST_ROWS
+        few = new.count() <= FEW_BLOBS
         copies = named.select("blob", "text").join(F.broadcast(new) if few else new, "blob", "left_semi")
         self._add("findings", findings_of(copies.groupBy("blob").agg(F.first("text").alias("text")), self.rules))
         self._add("scanned", new)
