@@ -95,6 +95,34 @@ def boundary_values(size: Column, signed: Column, seed: int, position: Column) -
     return F.array_distinct(F.concat(edges, drawn))
 
 
+#: Fixed: floating-point values that every parameter of that kind tries.
+FLOATS = (0.0, 1.0, -1.0, 0.5, 2.0, 3.5)
+
+
+def float_bits(value: Column, size: Column) -> Column:
+    """The bits of a number as a float of 4 or 8 bytes: sign, exponent and fraction by
+    arithmetic, rounded to the width. Numbers are normal ones or 0."""
+    x = F.when(size == 4, value.cast("float").cast("double")).otherwise(value.cast("double"))
+    fraction, bias = F.when(size == 4, 23).otherwise(52), F.when(size == 4, 127).otherwise(1023)
+    guess = F.floor(F.log2(F.abs(x)))
+    scaled = F.abs(x) / F.pow(F.lit(2.0), guess)  # exact; the logarithm may be off by one
+    exponent = guess + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+    scaled = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
+    bits = _shifted(exponent + bias, fraction) + ((scaled - 1) * F.pow(F.lit(2.0), fraction)).cast("long")
+    sign = F.when(x < 0, _shifted(F.lit(1).cast("long"), F.when(size == 4, 31).otherwise(63))).otherwise(F.lit(0).cast("long"))
+    return F.when(x == 0, F.lit(0).cast("long")).otherwise(bits.bitwiseOR(sign))
+
+
+def _shifted(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", value.cast("long"), bits.cast("int"))
+
+
+def float_values(size: Column, seed: int, position: Column, extra: int = 3) -> Column:
+    """Bit patterns to try for a float: ordinary values and some that a seed draws."""
+    drawn = [uniform(F.lit(f"float:{seed}"), position, F.lit(str(i))) * 2e6 - 1e6 for i in range(extra)]
+    return F.array(*[float_bits(x, size) for x in [*map(F.lit, FLOATS), *drawn]])
+
+
 def input_vectors(values: Column, count: int = 6) -> Column:
     """Vectors that take each parameter's next value, over and over; no two alike.
     values: an array for each parameter. No parameters are one empty vector."""

@@ -54,11 +54,10 @@ def duplicate_keys(candidates: DataFrame, key: str = "content", group: str = "pa
 
 
 def eligible_rows(candidates: DataFrame, key: str = "content") -> DataFrame:
-    """Candidates whose content no other package has. A key's rows meet in one
-    shuffle, which counts its packages and keeps its rows."""
-    by_key = Window.partitionBy(key)
-    spread = candidates.withColumn("_low", F.min("package").over(by_key)).withColumn("_high", F.max("package").over(by_key))
-    return spread.where("_low = _high").drop("_low", "_high")
+    """Candidates whose content no other package has. What packages a key has is
+    combined on the map side, so content that many rows have meets in no one task."""
+    spread = candidates.groupBy(key).agg(F.min("package").alias("_low"), F.max("package").alias("_high"))
+    return candidates.join(spread.where("_low <> _high").select(key), key, "left_anti")
 
 
 def package_sizes(rows: DataFrame) -> DataFrame:
@@ -155,12 +154,13 @@ def fingerprint(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return whole.select(F.substring(F.sha2(F.concat(F.lit("["), F.array_join("rows.row", ","), F.lit("]")), 256), 1, 16).alias("fingerprint"))
 
 
-def row_digest(rows: DataFrame, *columns: str, buckets: int = 256) -> DataFrame:
-    """One row: a hash of the sorted rows. Rows are digested by bucket of their hash
-    first, so no task holds them all."""
+def row_digest(rows: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
+    """One row: a hash of the sorted rows. Rows are digested first by the bucket that
+    so many hexadecimal digits of their hash name, so no task holds them all; a
+    bucket's hashes fit in a task, which takes 4 digits from 10^9 rows on."""
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     hashed = rows.select(F.sha2(line, 256).alias("h"))
-    part = hashed.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
+    part = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
     return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "d"))), "\n"), 256).alias("digest"))
 
 

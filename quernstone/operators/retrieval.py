@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.listing import ngrams
 from quernstone.functions.picks import index_pick, uniform, upper_median
+from quernstone.operators import blocks
+from quernstone.operators.blocks import TOLERANCE
 
 IDENTITY = ["package", "decl_file", "name"]
-TOLERANCE = 1e-12
+#: A side is broadcast only after its rows have been counted, up to this.
+BROADCAST_ROWS = 1_000_000
 CUTOFFS = (1, 10)
 
 
@@ -81,17 +84,21 @@ def _every_pair(queries: DataFrame, pool: DataFrame) -> DataFrame:
 STRUCTURE = ("n_instructions", "n_blocks", "n_calls")
 
 
-def score_structural(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Minus the distance of log counts, standardised by the pool."""
+def structure_vectors(queries: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vector) and (pool_id, vector): log counts, standardised by the pool."""
     logs = lambda df, name: df.select(F.col("function_id").alias(name), *[F.log1p(c).alias(c) for c in STRUCTURE])
     shape = logs(pool, "pool_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in STRUCTURE], *[F.greatest(F.stddev_pop(c), F.lit(1e-6)).alias(f"spread_{c}") for c in STRUCTURE])
+    values = F.array(*[(F.col(c) - F.col(f"mean_{c}")) / F.col(f"spread_{c}") for c in STRUCTURE]).alias("vector")
+    standard = lambda df, name: logs(df, name).crossJoin(F.broadcast(shape)).select(name, values)  # noqa: E731 - shape is one row
+    return standard(queries, "query_id"), standard(pool, "pool_id")
 
-    def standard(df: DataFrame, name: str) -> DataFrame:
-        values = [((F.col(c) - F.col(f"mean_{c}")) / F.col(f"spread_{c}")).alias(f"{name}_{c}") for c in STRUCTURE]
-        return logs(df, name).crossJoin(F.broadcast(shape)).select(name, *values)  # shape is one row
 
-    square = sum(((F.col(f"query_id_{c}") - F.col(f"pool_id_{c}")) ** 2 for c in STRUCTURE), F.lit(0.0))
-    return _every_pair(standard(queries, "query_id"), standard(pool, "pool_id")).select("query_id", "pool_id", (-F.sqrt(square)).alias("score"))
+def score_structural(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """Minus the distance of log counts, standardised by the pool."""
+    left, right = structure_vectors(queries, pool)
+    pairs = _every_pair(left.withColumnRenamed("vector", "a"), right.withColumnRenamed("vector", "b"))
+    square = sum(((F.col("a")[i] - F.col("b")[i]) ** 2 for i in range(len(STRUCTURE))), F.lit(0.0))
+    return pairs.select("query_id", "pool_id", (-F.sqrt(square)).alias("score"))
 
 
 def score_random(queries: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
@@ -165,16 +172,97 @@ def macro_mean(per_group: DataFrame) -> DataFrame:
     return per_group.agg(F.count("*").alias("packages"), *[F.avg(c).alias(c) for c in (*[f"recall_at_{k}" for k in CUTOFFS], "mrr")])
 
 
-#: The scorers by name, and whether they leave out pairs that score 0.
-SCORERS: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], bool]] = {
-    "random": (score_random, False),
-    "structural": (score_structural, False),
-    "import-jaccard": (score_jaccard, True),
-    "bm25": (score_bm25, True),
+def rank_jaccard(queries: DataFrame, pool: DataFrame, gold: DataFrame, items: str = "imports") -> DataFrame:
+    """(query_id, rank) under score_jaccard; a pair that shares nothing scores 0."""
+    distinct = F.array_distinct(F.coalesce(items, F.array().cast("array<string>")))
+    one = lambda df, name: df.select(F.col("function_id").alias(name), F.transform(distinct, lambda x: F.xxhash64(x)).alias("items"))
+    left, right = one(queries, "query_id"), one(pool, "pool_id")
+    pairs = gold.join(left.withColumnRenamed("items", "a"), "query_id").join(right.withColumnRenamed("items", "b"), "pool_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    answers = pairs.select("query_id", (shared / F.greatest(F.size("a") + F.size("b") - shared, F.lit(1))).alias("score"))
+    return blocks.ranks_by_blocks(left, right, answers, blocks.jaccard_product)
+
+
+def bm25_sides(queries: DataFrame, pool: DataFrame, tokens: str = "tokens", query_id: str = "function_id", pool_id: str = "function_id", n: int = 3, b: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(query_id, items, weights): the grams of a query that the pool has, hashed,
+    and their idf; (pool_id, grams, norm): all grams of a pool row, and its length
+    by the mean."""
+    grams = lambda df, own, name: df.select(F.col(own).alias(name), F.transform(ngrams(F.col(tokens), n), lambda x: F.xxhash64(x)).alias("grams"))
+    asked, held = grams(queries, query_id, "query_id"), grams(pool, pool_id, "pool_id")
+    length = F.greatest(F.size("grams"), F.lit(1))
+    shape = held.agg(F.count("*").alias("rows"), F.avg(length).alias("mean"))  # one row
+    wanted = asked.select("query_id", F.explode(F.array_distinct("grams")).alias("gram"))
+    documents = held.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = documents.crossJoin(F.broadcast(shape)).select("gram", idf.alias("idf"))
+    found = wanted.join(weights, "gram").groupBy("query_id").agg(F.collect_list(F.struct("gram", "idf")).alias("x"))
+    left = asked.select("query_id").join(found, "query_id", "left").select("query_id", F.col("x.gram").alias("items"), F.col("x.idf").alias("weights"))
+    norm = (1 - b + b * length / F.col("mean")).alias("norm")
+    return left, held.crossJoin(F.broadcast(shape)).select("pool_id", "grams", norm)
+
+
+def rank_bm25(queries: DataFrame, pool: DataFrame, gold: DataFrame, tokens: str = "tokens", query_id: str = "function_id", pool_id: str = "function_id", n: int = 3, k1: float = 1.5, b: float = 1.0) -> DataFrame:
+    """(query_id, rank) under score_bm25; a pair that shares no gram scores 0."""
+    left, right = bm25_sides(queries, pool, tokens, query_id, pool_id, n, b)
+    pairs = gold.join(left, "query_id").join(right, "pool_id").select("query_id", "items", "weights", "grams", "norm")
+    kind = dict(gold.dtypes)["query_id"]
+    answers = pairs.mapInArrow(lambda batches: (blocks.bm25_of_pairs(x, k1) for x in batches), f"query_id {kind}, score double")
+    return blocks.ranks_by_blocks(left, right, answers, blocks.bm25_product(k1))
+
+
+def rank_structural(queries: DataFrame, pool: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, rank) under score_structural."""
+    left, right = structure_vectors(queries, pool)
+    pairs = gold.join(left.withColumnRenamed("vector", "a"), "query_id").join(right.withColumnRenamed("vector", "b"), "pool_id")
+    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) ** 2), F.lit(0.0), lambda t, x: t + x)
+    return blocks.ranks_by_blocks(left, right, pairs.select("query_id", (-F.sqrt(square)).alias("score")), blocks.distance_product)
+
+
+def rank_vector(queries: DataFrame, pool: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, rank) under score_vector. queries, pool: (id, vector)."""
+    one = lambda df, name: df.select(F.col("id").alias(name), F.col("vector").cast("array<double>").alias("vector"))
+    left, right = one(queries, "query_id"), one(pool, "pool_id")
+    pairs = gold.join(left.withColumnRenamed("vector", "a"), "query_id").join(right.withColumnRenamed("vector", "b"), "pool_id")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return blocks.ranks_by_blocks(left, right, pairs.select("query_id", product.alias("score")), blocks.vector_product)
+
+
+def rank_random(queries: DataFrame, pool: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, rank) under score_random, which is a hash of both ids: all pairs."""
+    return ranks(score_random(queries, pool), gold, pool, sparse=False)
+
+
+#: (query_id, rank) under a scorer by name.
+SCORERS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
+    "random": rank_random,
+    "structural": rank_structural,
+    "import-jaccard": rank_jaccard,
+    "bm25": rank_bm25,
 }
 
 
 def evaluate(scorer: str, queries: DataFrame, pool: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, rank) under a scorer by name."""
-    score, sparse = SCORERS[scorer]
-    return ranks(score(queries, pool), gold, pool, sparse)
+    return SCORERS[scorer](queries, pool, gold)
+
+
+def containing(queries: DataFrame, pool: DataFrame, n: int = 3) -> DataFrame:
+    """(query_id, pool_id) where the text of a pool row contains a query's.
+
+    Words at the ends of a query may be parts of longer ones, so its inner grams
+    are in what contains it; rows with its rarest one are searched. Queries too
+    short for an inner gram are searched for in all rows. queries: (query_id,
+    text, tokens), pool: (pool_id, text, tokens).
+    """
+    asked = queries.where("text IS NOT NULL").select("query_id", F.col("text").alias("item"), ngrams(F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))), n).alias("inner"), (F.size("tokens") >= n + 2).alias("long"))
+    held = pool.select("pool_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), n))).alias("gram"))
+    inner = asked.where("long").select("query_id", F.explode(F.array_distinct("inner")).alias("gram"))
+    few = queries.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    df = held.join(small(inner.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "gram").groupBy("query_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    found = held.join(small(rarest), "gram").select("query_id", "pool_id")
+    pairs = found.join(small(asked.select("query_id", "item")), "query_id").join(pool.select("pool_id", "text"), "pool_id")
+    out = pairs.where(F.col("text").contains(F.col("item"))).select("query_id", "pool_id")
+    short = asked.where("NOT long").select("query_id", "item")
+    return out.unionByName(pool.join(small(short), F.col("text").contains(F.col("item"))).select("query_id", "pool_id"))

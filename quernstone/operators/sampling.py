@@ -85,28 +85,6 @@ def batched(rows: DataFrame, order: str, size: int) -> DataFrame:
     return numbered.withColumn("batch", F.floor(F.col("_i") / size).cast("int")).withColumn("slot", (F.col("_i") % size).cast("int")).drop("_range", "_before", "_i")
 
 
-def pair_batches(rows: DataFrame, batch: int = 64, per_package: int | None = None, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """(batch, slot, identity, query_id, key_id): for each identity two of its rows
-    at different levels, drawn by hash.
-
-    Batches mix packages: a package's identities, in hash order, take turns of
-    per_package each, and turns follow each other. This ordering approximates a
-    round robin that is drawn anew for each batch.
-    """
-    salt, quota = epoch_seed(seed, epoch), per_package or max(1, batch // 8)
-    views = rows.withColumn("_h", seeded_order(salt, "function_id"))
-    first = views.groupBy(*IDENTITY).agg(F.min(F.struct("_h", "function_id", "opt_level")).alias("q"))
-    second = views.join(first, IDENTITY).where(F.col("opt_level") != F.col("q.opt_level"))
-    pairs = second.groupBy(*IDENTITY).agg(F.min("q.function_id").alias("query_id"), F.min(F.struct("_h", "function_id")).alias("k"))
-    pairs = pairs.select(*IDENTITY, "query_id", F.col("k.function_id").alias("key_id"))
-    turn = F.floor((F.row_number().over(Window.partitionBy("package").orderBy(seeded_order(salt, *IDENTITY))) - 1) / quota)
-    placed = pairs.withColumn("turn", turn)
-    order = F.concat(F.lpad(F.hex("turn"), 2, "0"), F.md5(F.concat_ws(":", F.lit(str(salt)), "turn", *IDENTITY)))
-    numbered = ordinal(placed.withColumn("_o", order), [F.col("_o"), *map(F.col, IDENTITY)], "i")
-    numbered = numbered.withColumn("batch", F.floor((F.col("i") - 1) / batch).cast("int")).withColumn("slot", ((F.col("i") - 1) % batch).cast("int"))
-    return numbered.select("batch", "slot", *IDENTITY, "query_id", "key_id")
-
-
 def false_negatives(slots: DataFrame) -> DataFrame:
     """(batch, slot, other): keys of a batch that would count against a slot although
     their content is that of its query or of its own key."""

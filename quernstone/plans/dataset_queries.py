@@ -65,12 +65,31 @@ def package_sizes(spark, d):
     return dataset.package_sizes(eligible(spark, d))
 
 
-@query("assign_splits")
+def _fold(domain: str) -> str:
+    """The greedy fold as a recursion over the packages, in the order of their placement."""
+    owed = lambda x: f"CASE WHEN members = 1 THEN 0 WHEN members = 2 THEN {int(x == 'test')} ELSE greatest(1, round_even(members * 0.15, 0)) END"  # noqa: E731 - the larger name gives way
+    begin = lambda new, old: f"CASE WHEN nth = 0 THEN {new} ELSE {old} END"
+    gap = lambda s, share: f"({share} * everything - g{s})"
+    own = lambda s, share: f"({share} * total - l{s})"
+    return f"""WITH RECURSIVE size AS (SELECT package, {domain} AS domain, count(*) AS n FROM eligible GROUP BY ALL),
+    seq AS (SELECT *, row_number() OVER (ORDER BY domain, n DESC, package) AS i, row_number() OVER (PARTITION BY domain ORDER BY n DESC, package) - 1 AS nth, count(*) OVER (PARTITION BY domain) AS members,
+      sum(n) OVER (PARTITION BY domain) AS total, sum(n) OVER (ORDER BY domain) AS everything FROM size),
+    fold AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS package, NULL::VARCHAR AS split, 0::BIGINT AS lr, 0::BIGINT AS lv, 0::BIGINT AS lt, 0::BIGINT AS gr, 0::BIGINT AS gv, 0::BIGINT AS gt, 0::BIGINT AS ov, 0::BIGINT AS ot
+      UNION ALL SELECT i, package, split, lr + CASE split WHEN 'train' THEN n ELSE 0 END, lv + CASE split WHEN 'val' THEN n ELSE 0 END, lt + CASE split WHEN 'test' THEN n ELSE 0 END,
+        gr + CASE split WHEN 'train' THEN n ELSE 0 END, gv + CASE split WHEN 'val' THEN n ELSE 0 END, gt + CASE split WHEN 'test' THEN n ELSE 0 END, greatest(ov - (split = 'val')::INT, 0), greatest(ot - (split = 'test')::INT, 0)
+      FROM (SELECT *, CASE WHEN ov + ot > 0 AND members - nth <= ov + ot THEN CASE WHEN ot = 0 OR ov > 0 AND {gap("v", 0.15)} >= {gap("t", 0.15)} THEN 'val' ELSE 'test' END
+          WHEN {own("r", 0.7)} >= {own("v", 0.15)} AND {own("r", 0.7)} >= {own("t", 0.15)} THEN 'train' WHEN {own("v", 0.15)} >= {own("t", 0.15)} THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT seq.i, seq.package, n, nth, members, total, everything, {begin("0", "lr")} AS lr, {begin("0", "lv")} AS lv, {begin("0", "lt")} AS lt, gr, gv, gt, {begin(owed("val"), "ov")}::BIGINT AS ov, {begin(owed("test"), "ot")}::BIGINT AS ot
+          FROM fold JOIN seq ON seq.i = fold.i + 1)))
+    SELECT package, split FROM fold WHERE package IS NOT NULL"""
+
+
+@query("assign_splits", _fold("''"), "eligible")
 def assign_splits(spark, d):
     return dataset.assign_splits(dataset.package_sizes(eligible(spark, d)))
 
 
-@query("assign_splits_by_domain")
+@query("assign_splits_by_domain", _fold("domain"), "eligible")
 def assign_splits_by_domain(spark, d):
     rows = eligible(spark, d)
     return dataset.assign_splits(dataset.package_sizes(rows), rows.select("package", "domain"))

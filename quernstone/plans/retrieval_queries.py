@@ -154,8 +154,7 @@ def score_vector(spark, d):
 @query("retrieval_vector_metrics", f"{_VEC}{RANKED} SELECT {SUMMARY} FROM ranked")
 def retrieval_vector_metrics(spark, d):
     q, p, gold = _vectors(spark, d)
-    scores = retrieval.score_vector(q.select("id", "vector"), p.select("id", "vector"))
-    return rounded(retrieval.metrics(retrieval.ranks(scores, gold, p, sparse=False)))
+    return rounded(retrieval.metrics(retrieval.rank_vector(q, p, gold)))
 
 
 def _words(text):
@@ -178,12 +177,9 @@ pool AS (SELECT doc_id AS function_id FROM documents), gold AS (SELECT item_id A
 def text_bm25_benchmark(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", _words(F.col("text")).alias("tokens"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pool_id"), "text", _words(F.col("text")).alias("tokens"))
-    # an item that a document holds shares grams with it, so only matches are searched
-    scores = retrieval.score_bm25(items, docs, query_id="query_id", pool_id="pool_id")
-    found = scores.join(items.select("query_id", F.col("text").alias("item")), "query_id").join(docs.select("pool_id", "text"), "pool_id")
-    gold = found.where(F.col("text").contains(F.col("item"))).select("query_id", "pool_id")
-    kept = scores.join(gold.select("query_id").distinct(), "query_id", "left_semi")
-    return rounded(retrieval.metrics(retrieval.ranks(kept, gold, docs, sparse=True)))
+    gold = retrieval.containing(items, docs)
+    kept = items.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    return rounded(retrieval.metrics(retrieval.rank_bm25(kept, docs, gold, query_id="query_id", pool_id="pool_id")))
 
 
 # ---- tokens: the grammar over listings made of the lines
@@ -358,11 +354,6 @@ def pair_levels(spark, d):
     return sampling.paired_identities(eligible(spark, d))
 
 
-@query("pair_batches")
-def pair_batches(spark, d):
-    return sampling.pair_batches(eligible(spark, d), batch=64, seed=5)
-
-
 _BATCH = """WITH slot AS (SELECT function_id AS query_id, content AS query_content, gold_content AS key_content, (row_number() OVER (ORDER BY function_id) - 1) // 64 AS batch, (row_number() OVER (ORDER BY function_id) - 1) % 64 AS slot FROM query)"""
 
 

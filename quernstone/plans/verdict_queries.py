@@ -219,7 +219,11 @@ def initialiser_match(spark, d):
     return verdict.initialiser_match(rows.withColumn("candidates", calling.candidate_names(F.col("name"))), rows)
 
 
-@query("garbage_bytes")
+@query(
+    "garbage_bytes",
+    """SELECT pair_id, input_idx, variant, side, 4096::BIGINT AS page, unnest(CASE WHEN s % 12 <= 8 THEN range(0, 9) ELSE [s % 12] END)::INT AS offset FROM cases CROSS JOIN (VALUES ('Q'), ('K')) AS v(side)""",
+    "cases",
+)
 def garbage_bytes(spark, d):
     """Bytes of one page for each case: one of seed B moved, two stores over them."""
     runs = cases(spark, d).withColumn("r", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(e).alias("seed")) for s, e in verdict.RUNS]))).select(*verdict.CASE, "p", "s", "r.side", "r.seed")
@@ -229,7 +233,7 @@ def garbage_bytes(spark, d):
     return verdict.garbage_bytes(writes, stores)
 
 
-@query("foreign_pointer_bytes")
+@query("foreign_pointer_bytes", "SELECT pair_id, input_idx, variant, 0::BIGINT AS page, unnest(range(s % 8, s % 8 + 8))::INT AS offset FROM cases", "cases")
 def foreign_pointer_bytes(spark, d):
     """A page for each case that holds an address of a foreign region at an offset."""
     c = cases(spark, d)

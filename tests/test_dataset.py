@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import dataset, sampling, vocab
+from quernstone.operators import dataset, sampling, training, vocab
 
 COLUMNS = "function_id long, package string, decl_file string, name string, opt_level string, n_instructions int, tokens array<string>, content string"
 
@@ -104,9 +104,13 @@ def test_subsets_are_nested(rows):
 
 def test_pairs_and_false_negatives(spark, rows):
     paired = rows.where("opt_level <> 'O1' OR name = 'f1'")
-    batches = sampling.pair_batches(paired, batch=5, seed=4).collect()
-    assert len(batches) == 24 and len({(r["batch"], r["slot"]) for r in batches}) == 24
-    assert all(r["query_id"] != r["key_id"] for r in batches)
+    batches = training.pair_batches(paired, batch=5, seed=4).collect()
+    # 24 identities of six packages: four full batches of five, at most one of a package's in a turn
+    assert len(batches) == 20 and {(r["batch"], r["slot"]) for r in batches} == {(b, s) for b in range(4) for s in range(5)}
+    assert len({(r["package"], r["decl_file"], r["name"]) for r in batches}) == 20
+    assert all(r["query_id"] != r["key_id"] and r["query_level"] != r["key_level"] for r in batches)
+    first = [r["package"] for r in sorted(batches, key=lambda r: r["slot"]) if r["batch"] == 0]
+    assert len(set(first)) == 5  # a quota of one, from packages that all have some left
     slots = spark.createDataFrame([(0, 0, "x", "y"), (0, 1, "z", "x"), (0, 2, "w", "y"), (1, 0, "x", "x")], "batch int, slot int, query_content string, key_content string")
     assert {tuple(r) for r in sampling.false_negatives(slots).collect()} == {(0, 0, 1), (0, 0, 2), (0, 2, 0)}
     same = spark.createDataFrame([(1, "p", "f", "n", "O0", "x"), (2, "p", "f", "n", "O1", "x"), (3, "p", "f", "n", "O2", "y")], "function_id long, package string, decl_file string, name string, opt_level string, content string")
