@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.listing import call_count, content_key, import_set, mnemonics, tokens
-from quernstone.operators import browse, checks, dataset, retrieval, store, vocab
+from quernstone.operators import browse, checks, dataset, measurements, retrieval, store, training, verify, vocab
 from quernstone.schemas import LEVELS, TABLES, TRAINING_TABLES
 from quernstone.sources.manifest import load_manifest
 from quernstone.sources.snapshots import Store, export_training
+from quernstone.streaming.ingest import working_folder
 
 
 def joined_rows(s: Store):
@@ -24,9 +25,17 @@ def joined_rows(s: Store):
 
 
 def function_rows(s: Store, min_instructions: int = 8):
-    """Candidates of a store with tokens and content."""
+    """Candidates of a store with tokens and content, made once and written: they feed
+    many plans, and how a listing becomes tokens is a large expression."""
     rows = dataset.candidate_rows(joined_rows(s), min_instructions).withColumn("tokens", tokens(F.col("listing")))
-    return rows.withColumn("content", content_key(F.col("tokens")))
+    rows = _written(s, rows, "tokens")
+    return _written(s, rows.withColumn("content", content_key(F.col("tokens"))), "function-rows")
+
+
+def _written(s: Store, rows, name: str):
+    path = working_folder(s.spark, name)
+    rows.write.parquet(path)
+    return s.spark.read.parquet(path)
 
 
 def samples(s: Store, split: str | None):
@@ -37,12 +46,13 @@ def samples(s: Store, split: str | None):
     blocks = s.read("basic_blocks").groupBy("function_id").agg(F.count("*").cast("int").alias("n_blocks"))
     rows = rows.join(blocks, "function_id", "left").na.fill(0, ["n_blocks"])
     text = F.col("listing")
-    return rows.withColumns({"imports": import_set(text), "n_calls": call_count(text), "tokens": mnemonics(text, 4)})
+    rows = rows.withColumns({"imports": import_set(text), "n_calls": call_count(text), "tokens": mnemonics(text, 4)})
+    return _written(s, rows.drop("listing"), "samples")  # rankers read them many times over
 
 
 def cmd_check(s: Store, a) -> int:
     if a.close_stale:
-        s.write("runs", store.close_stale_runs(s.read("runs"), datetime.datetime.now(datetime.UTC).replace(tzinfo=None), a.stale_minutes))
+        s.write("runs", store.close_stale_runs(s.read("runs"), now(), a.stale_minutes))
     found = checks.summary({t: s.read(t) for t in TABLES})
     found.orderBy("check").show(50, False)
     return int(not found.where("severity = 'defect' AND n > 0").isEmpty())
@@ -65,19 +75,67 @@ def cmd_dataset(s: Store, a) -> int:
     return int(leak["leaked"] > 0)
 
 
+def fingerprint(s: Store, rows) -> str:
+    """The 16 digits of eligible rows as they are split now."""
+    return dataset.fingerprint(rows, s.read("dataset_split").select("package", "split")).first()[0]
+
+
+def now() -> datetime.datetime:
+    return datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+
+
 def cmd_baselines(s: Store, a) -> int:
     queries, pool, gold = retrieval.retrieval_task(samples(s, a.split), a.query_level, a.pool_level)
-    out = None
+    named = queries.select(F.col("function_id").alias("query_id"), "package")
+    out = per = None
     for name in a.methods or retrieval.SCORERS:
-        one = retrieval.metrics(retrieval.evaluate(name, queries, pool, gold)).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    out.orderBy("mrr").show(20, False)
+        ranked = retrieval.evaluate(name, queries, pool, gold).persist()  # a row for each query
+        one = retrieval.metrics(ranked).withColumn("method", F.lit(name))
+        by = retrieval.metrics(ranked.join(named, "query_id"), ["package"]).withColumn("method", F.lit(name))
+        out, per = (one, by) if out is None else (out.unionByName(one), per.unionByName(by))
+    measurements.by_strength(out).show(20, False)
+    measurements.package_table(per, list(a.methods or retrieval.SCORERS)).show(200, False)
+    if a.record:
+        runs = s.read("runs")
+        number = runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+        params = measurements.task_params(a.split, a.query_level, a.pool_level, a.seed, fingerprint(s, dataset.eligible_rows(function_rows(s))))
+        s.write("runs", store.finish_run(store.start_run(runs, number, "baselines", now(), params, seed=a.seed), number, "ok", now()))
+        s.write("measurements", measurements.record(s.read("measurements"), out, number, a.split))
     return 0
 
 
 def cmd_vocab(s: Store, a) -> int:
-    rows = dataset.eligible_rows(function_rows(s)).join(s.read("dataset_split").where("split = 'train'").select("package"), "package", "left_semi")
-    vocab.save(vocab.build_vocab(rows, a.min_functions), a.out, a.min_functions, {})
+    eligible = dataset.eligible_rows(function_rows(s))
+    rows = training.train_functions(eligible, s.read("dataset_split"))
+    vocab.save(vocab.build_vocab(rows, a.min_functions), a.out, a.min_functions, {"fingerprint": fingerprint(s, eligible)})
+    return 0
+
+
+def _shown(report, out: str | None) -> int:
+    """A report on the screen and, if asked for, as JSON lines in a folder."""
+    report.show(200, False)
+    if out:
+        report.coalesce(1).write.json(out)  # a row for each bucket
+    return 0
+
+
+def cmd_verify_v0(s: Store, a) -> int:
+    attempts, chains = (s.spark.read.parquet(x) for x in (a.attempts, a.chains))
+    return _shown(verify.layer_report(verify.three_layers(attempts, chains)).orderBy("layer", F.desc("pairs"), "bucket", "agreement"), a.out)
+
+
+def cmd_verify_r0(s: Store, a) -> int:
+    tasks, loads, compared = (s.spark.read.parquet(x) for x in (a.tasks, a.loads, a.compared))
+    return _shown(verify.r0_report(verify.false_pair_verdicts(tasks, loads, compared)).orderBy("verdict", "unjudged"), a.out)
+
+
+def cmd_refresh_truth(s: Store, a) -> int:
+    """Truths read anew replace those of their binaries, matched to functions by address."""
+    truth = store.match_truth(s.spark.read.parquet(a.truth), s.read("functions"))
+    names = TABLES["ground_truth"].names
+    s.write("ground_truth", store.replace_partition(s.read("ground_truth").select(*names), truth.select(*names), "binary_id"))
+    kept = s.read("ground_truth")
+    print(f"truths: {kept.count()}; matched: {kept.where('function_id IS NOT NULL').count()}")
     return 0
 
 
@@ -147,7 +205,10 @@ def parser() -> argparse.ArgumentParser:
     yes = {"action": "store_true"}
     add("check", cmd_check, (["--close-stale"], yes), (["--stale-minutes"], {"type": int, "default": 60}))
     add("dataset", cmd_dataset, (["--assign"], yes), (["--force"], yes), (["--manifest"], {}))
-    add("baselines", cmd_baselines, (["--split"], {"default": "test"}), (["--query-level"], {"default": "O0", "choices": LEVELS}), (["--pool-level"], {"default": "O3", "choices": LEVELS}), (["--methods"], {"nargs": "*", "choices": list(retrieval.SCORERS)}))
+    add("baselines", cmd_baselines, (["--split"], {"default": "test"}), (["--query-level"], {"default": "O0", "choices": LEVELS}), (["--pool-level"], {"default": "O3", "choices": LEVELS}), (["--methods"], {"nargs": "*", "choices": list(retrieval.SCORERS)}), (["--record"], yes), (["--seed"], {"type": int, "default": 0}))
+    add("verify-v0", cmd_verify_v0, (["--attempts"], {"required": True}), (["--chains"], {"required": True}), (["--out"], {}))
+    add("verify-r0", cmd_verify_r0, (["--tasks"], {"required": True}), (["--loads"], {"required": True}), (["--compared"], {"required": True}), (["--out"], {}))
+    add("refresh-truth", cmd_refresh_truth, (["truth"], {}))
     add("vocab", cmd_vocab, (["out"], {}), (["--min-functions"], {"type": int, "default": 5}))
     add("inspect", cmd_inspect, (["--id"], {"type": int}), (["--package"], {}), (["--opt"], {"choices": LEVELS}), (["--name"], {}), (["--sample"], {"type": int}), (["--seed"], {"type": int, "default": 1}), (["--lines"], {"type": int, "default": 40}), (["--list"], yes), (["--most"], {"type": int, "default": 50}))
     add("measurements", cmd_measurements, (["--split"], {}), (["--method"], {}), (["--limit"], {"type": int, "default": 40}))

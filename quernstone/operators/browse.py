@@ -49,6 +49,12 @@ def shown_listing(listing: Column, most: int = 40) -> Column:
     return F.when(more > 0, F.concat(F.slice(found, 1, most), F.array(F.concat(F.lit("... "), more.cast("string"), F.lit(" more"))))).otherwise(found)
 
 
+def with_listing(rows: DataFrame, code: DataFrame) -> DataFrame:
+    """rows (function_id) with their listing, the empty text for those without code."""
+    found = rows.join(code.select("function_id", "listing"), "function_id", "left")
+    return found.withColumn("listing", F.coalesce("listing", F.lit("")))
+
+
 def split_report(rows: DataFrame) -> DataFrame:
     """Counts and instruction percentiles of each split; percentiles are picks."""
     identity = F.struct("package", "decl_file", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.picks import seeded_order
+from quernstone.operators.sampling import ordinal_within
 from quernstone.operators.vocab import IDENTITY
 
 
@@ -31,8 +32,8 @@ def sample_false_pairs(rows: DataFrame, count: int = 300, seed: int = 0) -> Data
 
     def numbered(level: str, name: str, salt: int) -> DataFrame:
         here = rows.where(F.col("opt_level") == level)
-        order = Window.partitionBy("package").orderBy(seeded_order(salt, "function_id"), "function_id")
-        return here.select("package", F.col("function_id").alias(f"{name}_id"), F.col("name").alias(f"{name}_name"), (F.row_number().over(order) - 1).alias("ordinal"))
+        placed = ordinal_within(here.select("package", "function_id", "name"), ["package"], [seeded_order(salt, "function_id"), F.col("function_id")], "ordinal")
+        return placed.select("package", F.col("function_id").alias(f"{name}_id"), F.col("name").alias(f"{name}_name"), "ordinal")
 
     q, k = numbered("O0", "query", 2 * seed), numbered("O3", "pool", 2 * seed + 1)
     sizes = k.groupBy("package").agg(F.count("*").alias("n"))
@@ -45,9 +46,12 @@ def siblings(rows: DataFrame) -> DataFrame:
     """(package, decl_file, opt_level, n, first_names): functions by file, with the
     first ten of their names; the members themselves stay rows."""
     here = ["package", "decl_file", "opt_level"]
-    place = F.row_number().over(Window.partitionBy(*here).orderBy("name", "function_id"))
-    few = rows.where("decl_file IS NOT NULL").withColumn("_p", place)
-    return few.groupBy(*here).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_p") <= 10, F.col("name")))).alias("first_names"))
+    rows = rows.where("decl_file IS NOT NULL").select(*here, "name", "function_id", F.pmod(F.xxhash64("function_id"), F.lit(64)).alias("_b"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*here, *by).orderBy("name", "function_id"))
+    # the first ten of each part of a file hold the first ten of the file
+    few = rows.withColumn("_p", place("_b")).where("_p <= 10").withColumn("_p", place()).where("_p <= 10")
+    first = few.groupBy(*here).agg(F.array_sort(F.collect_list("name")).alias("first_names"))
+    return rows.groupBy(*here).agg(F.count("*").alias("n")).join(first, here)
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:

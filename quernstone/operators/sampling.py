@@ -33,6 +33,17 @@ def ordinal(rows: DataFrame, order: list[Column], name: str, buckets: int = 256)
     return part.withColumn("_r", inside).join(F.broadcast(starts), "_b").withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
 
 
+def ordinal_within(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows numbered from 0 within the groups of by, in the order of a hexadecimal
+    hash: in two levels, so that a group that a third of all rows are in is numbered
+    in many tasks."""
+    part = rows.withColumn("_h", order[0]).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = part.groupBy(*by, "_b").agg(F.count("*").alias("_n"))  # at most 256 for each group
+    starts = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *order[1:]))
+    return part.withColumn("_r", inside).join(starts, [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_before") - 1).drop("_h", "_b", "_r", "_before")
+
+
 def subset(rows: DataFrame, fraction: float, unit: str, seed: int = 0) -> DataFrame:
     """The rows of a fraction of the identities, or of the packages; at least one."""
     keys = IDENTITY if unit == "identity" else ["package"]

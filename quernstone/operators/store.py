@@ -201,6 +201,12 @@ def short_commit(version: Column) -> Column:
     return F.when(F.coalesce(version, F.lit("")) == "", "?").otherwise(F.concat(F.substring(F.regexp_replace(version, "-dirty$", ""), 1, 7), F.when(dirty, "*").otherwise("")))
 
 
+def block_counts(functions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(function_id, n_blocks) of each function, 0 for one without blocks."""
+    counts = blocks.groupBy("function_id").agg(F.count("*").cast("int").alias("n_blocks"))
+    return functions.select("function_id").join(counts, "function_id", "left").na.fill(0, ["n_blocks"])
+
+
 def splits_locked(runs: DataFrame) -> bool:
     """Whether a training run has used the splits."""
     return not runs.where(F.col("kind") == "train").isEmpty()

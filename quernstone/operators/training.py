@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.picks import seeded_order, uniform
-from quernstone.operators.sampling import IGNORED, epoch_seed, padded
+from quernstone.operators.sampling import IGNORED, epoch_seed, ordinal_within, padded
 from quernstone.operators.vocab import CLS, IDENTITY
 
 
@@ -76,13 +76,9 @@ def schedule(identities: DataFrame, batch: int = 64, per_package: int | None = N
     identities, numbered in hash order within their package, in a shuffle.
     """
     salt, quota = epoch_seed(seed, epoch), per_package or max(1, batch // 8)
-    each = identities.select(*IDENTITY).distinct().withColumn("_h", seeded_order(salt, *IDENTITY))
-    part = each.withColumn("_b", F.substring("_h", 1, 2))
-    sizes = part.groupBy("package", "_b").agg(F.count("*").alias("_n"))  # at most 256 for each package
-    starts = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("package").orderBy("_b")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("package", "_b").orderBy("_h", *IDENTITY))
-    numbered = part.withColumn("_r", inside).join(starts, ["package", "_b"]).select(*IDENTITY, (F.col("_r") + F.col("_before") - 1).alias("number"))
-    counts = sizes.groupBy("package").agg(F.sum("_n").alias("n")).repartition(1)
+    each = identities.select(*IDENTITY).distinct()
+    numbered = ordinal_within(each, ["package"], [seeded_order(salt, *IDENTITY), *map(F.col, IDENTITY)], "number")
+    counts = each.groupBy("package").agg(F.count("*").alias("n")).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((p, n) for b in batches for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))

@@ -9,7 +9,7 @@ from quernstone.plans.bindings import sql
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("dataset_queries", "retrieval_queries", "store_queries", "verdict_queries", "report_queries", "pair_queries", "stream_queries", "verify_queries", "training_queries")
+_MODULES = ("dataset_queries", "retrieval_queries", "store_queries", "verdict_queries", "report_queries", "pair_queries", "stream_queries", "verify_queries", "training_queries", "browse_queries")
 
 
 def query(name: str, text: str | None = None, *needs: str) -> Callable[[Callable], Callable]:

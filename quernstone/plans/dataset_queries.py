@@ -11,14 +11,26 @@ from quernstone.plans.bindings import MIN_INSTRUCTIONS, fn, table
 from quernstone.plans.catalogue import query
 
 
+_kept: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def _keep(spark: SparkSession, name: str, d: str, rows: DataFrame) -> DataFrame:
+    """rows persisted; a session holds those of one folder at a time. Spark recomputes
+    what an executor loses, and spills what memory cannot hold."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _kept and _kept[key][0] != d:
+        _kept.pop(key)[1].unpersist()
+    _kept[key] = (d, rows.persist())
+    return rows
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Kept once computed: tokens and content feed most queries, several times each.
-    Spark recomputes what an executor loses, and spills what memory cannot hold."""
-    return dataset.candidate_rows(fn(spark, d), MIN_INSTRUCTIONS).withColumn("content", content_key(F.col("tokens"))).persist()
+    """Kept once computed: tokens and content feed most queries, several times each."""
+    return _keep(spark, "candidates", d, dataset.candidate_rows(fn(spark, d), MIN_INSTRUCTIONS).withColumn("content", content_key(F.col("tokens"))))
 
 
 def eligible(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.eligible_rows(candidates(spark, d)).persist()
+    return _keep(spark, "eligible", d, dataset.eligible_rows(candidates(spark, d)))
 
 
 def fixed_splits(rows: DataFrame) -> DataFrame:

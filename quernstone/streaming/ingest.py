@@ -11,9 +11,14 @@ from quernstone.operators.store import append_events
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or
-    a local one where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quernstone-checkpoints"
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Only a
+    local session may lack that setting, and gets a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/quernstone-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -25,22 +30,30 @@ class EventAppender:
     that is repeated after a failure leaves the same rows.
     """
 
+    #: Every so many batches the last sequences of all binaries are written anew.
+    WHOLE = 16
+
     def __init__(self, spark: SparkSession, folder: str, order: list[str]):
         self.spark, self.folder, self.order = spark, folder.rstrip("/"), order
-        self.schema = None
 
     def _last(self, batch_id: int) -> DataFrame:
-        """The last sequence of each binary: kept beside each batch for all before."""
-        empty = self.spark.createDataFrame([], "binary_id long, seq long")
-        return self.spark.read.parquet(f"{self.folder}/last/{batch_id - 1}") if batch_id else empty
+        """The last sequence of each binary before a batch: the last whole table, and
+        those of the few batches since, which have only their own binaries."""
+        if not batch_id:
+            return self.spark.createDataFrame([], "binary_id long, seq long")
+        first = (batch_id - 1) // self.WHOLE * self.WHOLE
+        parts = self.spark.read.schema("binary_id long, seq long").parquet(*[f"{self.folder}/last/{i}" for i in range(first, batch_id)])
+        return parts.groupBy("binary_id").agg(F.max("seq").alias("seq"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         last = self._last(batch_id)
         rows = append_events(last, batch, self.order)
         rows.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch_id}")
         written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/rows/batch={batch_id}")
-        both = last.unionByName(written.select("binary_id", "seq"))
-        both.groupBy("binary_id").agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{self.folder}/last/{batch_id}")
+        ends = written.groupBy("binary_id").agg(F.max("seq").alias("seq"))
+        if batch_id % self.WHOLE == 0 and batch_id:
+            ends = ends.unionByName(last).groupBy("binary_id").agg(F.max("seq").alias("seq"))
+        ends.write.mode("overwrite").parquet(f"{self.folder}/last/{batch_id}")
 
 
 def append_stream(events: DataFrame, folder: str, order: list[str], trigger: dict | None = None):
