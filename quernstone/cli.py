@@ -99,7 +99,7 @@ def cmd_baselines(s: Store, a) -> int:
         runs = s.read("runs")
         number = runs.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
         params = measurements.task_params(a.split, a.query_level, a.pool_level, a.seed, fingerprint(s, dataset.eligible_rows(function_rows(s))))
-        s.write("runs", store.finish_run(store.start_run(runs, number, "baselines", now(), params, seed=a.seed), number, "ok", now()))
+        s.write("runs", store.finish_run(store.start_run(runs, number, "baselines", now(), params, store.code_version(), a.seed), number, "ok", now()))
         s.write("measurements", measurements.record(s.read("measurements"), out, number, a.split))
     return 0
 

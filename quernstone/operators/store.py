@@ -7,6 +7,8 @@ number rows say by what order they do.
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +209,35 @@ def block_counts(functions: DataFrame, blocks: DataFrame) -> DataFrame:
     return functions.select("function_id").join(counts, "function_id", "left").na.fill(0, ["n_blocks"])
 
 
+def function_index(functions: DataFrame) -> DataFrame:
+    """(binary_id, address, function_id) of a binary's own functions."""
+    return functions.where(~F.col("is_external")).select("binary_id", "address", F.col("id").alias("function_id"))
+
+
+def import_index(functions: DataFrame) -> DataFrame:
+    """(binary_id, library, name, function_id) of what a binary imports."""
+    return functions.where(F.col("is_external")).select("binary_id", "library", F.col("raw_name").alias("name"), F.col("id").alias("function_id"))
+
+
+def kept_strings(strings: DataFrame, references: DataFrame, min_length: int = 4, only_referenced: bool = True) -> DataFrame:
+    """Strings long enough and, unless told otherwise, referred to by some function."""
+    rows = strings.where(F.col("length") >= min_length)
+    return rows.join(references.select(F.col("string_id").alias("id")), "id", "left_semi") if only_referenced else rows
+
+
+def code_version(folder: str = ".") -> str:
+    """The commit that a folder is at, with -dirty if files differ from it; unknown
+    where there is no repository."""
+
+    def git(*command: str) -> str:
+        return subprocess.run(["git", "-C", folder, *command], capture_output=True, text=True, check=True).stdout.strip()
+
+    try:
+        return git("rev-parse", "HEAD") + ("-dirty" if git("status", "--porcelain", "--untracked-files=no") else "")
+    except (OSError, subprocess.CalledProcessError):
+        return "unknown"
+
+
 def splits_locked(runs: DataFrame) -> bool:
     """Whether a training run has used the splits."""
     return not runs.where(F.col("kind") == "train").isEmpty()

@@ -140,6 +140,27 @@ def block_counts(spark, d):
     return store.block_counts(table(spark, d, "orders").select(F.col("o_orderkey").alias("function_id")), blocks)
 
 
+def _functions(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).cast("long").alias("binary_id"), (F.col("p_partkey") * 16).alias("address"), F.col("p_brand").alias("library"), F.col("p_name").alias("raw_name"), (F.col("p_partkey") % 4 == 0).alias("is_external"))
+
+
+@query("function_index", "SELECT (p_size % 10)::BIGINT AS binary_id, p_partkey * 16 AS address, p_partkey AS function_id FROM part WHERE p_partkey % 4 <> 0")
+def function_index(spark, d):
+    return store.function_index(_functions(spark, d))
+
+
+@query("import_index", "SELECT (p_size % 10)::BIGINT AS binary_id, p_brand AS library, p_name AS name, p_partkey AS function_id FROM part WHERE p_partkey % 4 = 0")
+def import_index(spark, d):
+    return store.import_index(_functions(spark, d))
+
+
+@query("kept_strings", "SELECT p_partkey AS id, length(p_name)::BIGINT AS length FROM part WHERE length(p_name) >= 6 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 0)")
+def kept_strings(spark, d):
+    strings = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.length("p_name").cast("long").alias("length"))
+    return store.kept_strings(strings, table(spark, d, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_partkey").alias("string_id")), 6)
+
+
 @query("late_counts", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS starts, event_type AS type, count(*) AS n FROM events GROUP BY ALL")
 def late_counts(spark, d):
     """The counts of a stream by the hour, over a table: nothing comes late there."""

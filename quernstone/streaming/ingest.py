@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from quernstone.operators.store import append_events
 
@@ -71,3 +73,22 @@ def appended(spark: SparkSession, folder: str) -> DataFrame:
 def late_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by window and type; what comes later than the watermark is not counted."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "type").agg(F.count("*").alias("n"))
+
+
+class Progress(StreamingQueryListener):
+    """Tells a callback, after each batch of any stream, how many batches and rows
+    there have been so far."""
+
+    def __init__(self, tell: Callable[[int, int], None]):
+        self.tell, self.batches, self.rows = tell, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+        self.tell(self.batches, self.rows)
+
+    def onQueryTerminated(self, event) -> None:
+        pass

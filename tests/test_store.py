@@ -172,3 +172,41 @@ def test_manifest_and_files(spark, tmp_path):
     assert [r["path"] for r in chosen_sources(files, ["src/**/*.c"], ["src/test/*"]).collect()] == ["src/a.c"]
     with pytest.raises(ValueError):
         chosen_sources(files, ["*.rs"], [])
+
+
+def test_a_stream_goes_on_over_many_batches(spark, tmp_path):
+    """More batches than lie between two whole tables of last sequences."""
+    import time
+
+    from quernstone.streaming.ingest import EventAppender, Progress, append_stream, appended
+
+    appender = EventAppender(spark, f"{tmp_path}/table", ["n"])
+    appender.WHOLE = 4
+    for i in range(11):
+        batch = spark.createDataFrame([(i % 3, i), (7, i), (7, i + 100)], "binary_id long, n long")
+        appender(batch, i)
+        if i in (4, 8):
+            appender(batch, i)  # a batch that is run again leaves the same rows
+    rows = spark.read.parquet(f"{tmp_path}/table/rows").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["binary_id"], []).append(r["seq"])
+    assert {k: sorted(v) for k, v in by.items()} == {7: list(range(1, 23)), 0: [1, 2, 3, 4], 1: [1, 2, 3, 4], 2: [1, 2, 3]}
+
+    told, listener = [], None
+    listener = Progress(lambda batches, n: told.append((batches, n)))
+    spark.streams.addListener(listener)
+    spark.createDataFrame([(1, 1), (2, 1)], "binary_id long, n long").write.parquet(f"{tmp_path}/in")
+    append_stream(spark.readStream.schema("binary_id long, n long").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["n"]).awaitTermination()
+    for _ in range(50):
+        if told:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert told[-1][1] == 2 and appended(spark, f"{tmp_path}/out").count() == 2
+
+
+def test_code_version(tmp_path):
+    from quernstone.operators import store
+
+    assert store.code_version(str(tmp_path)) == "unknown"
