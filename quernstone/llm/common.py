@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -57,12 +58,21 @@ def worker_state(owner: str | None, key: tuple = (), make: Callable | None = Non
     held = sys.__dict__.setdefault("_quernstone_state", {})
     for x in [x for x in held if x != (owner, key)]:
         del held[x]
+    give_back()
     if owner is not None:
         if (owner, key) not in held:
             held[owner, key] = make()
         return held[owner, key]
 
 
+def give_back() -> None:
+    """Returns what earlier tasks of this worker have freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in pieces whose strings and binaries come to about limit
     bytes, and to more only where one row does."""
@@ -92,16 +102,16 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-#: Rows of an Arrow batch between the JVM and Python; 10,000, Spark's default, are too
-#: many for long texts, of which the JVM, the worker and the pipe hold a batch each.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch between the JVM and Python, of which the JVM, the worker and
+#: the pipe hold one each; Spark's default of 64 MB is much for two tasks an executor.
+BATCH_BYTES = 8 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow in batches of BATCH_ROWS, unless the session has a size of its own."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    """df.mapInArrow in batches of BATCH_BYTES, unless the session has a size of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "67108864", "64MB"):
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

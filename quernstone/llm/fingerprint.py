@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import append_columns, map_batches, slices, texts
+from quernstone.llm.common import append_columns, map_batches, slices, texts, worker_state
 from quernstone.llm.fastbytes import mixed, powers
 
 #: Short, so that a text of a line or two still has several hashes: whatever is
@@ -174,6 +174,7 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, r
     dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "extra", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches):
+        worker_state(None)
         part, last, extra_done, held = None, None, True, []
 
         def row(doc, text, mark, after, after_mark):

@@ -266,7 +266,7 @@ def shared_signatures(blobs: DataFrame) -> DataFrame:
         if signs:
             yield merge()
 
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "signature long, doc_id long")
+    return map_batches(blobs.repartition("bucket").sortWithinPartitions("bucket"), run, "signature long, doc_id long")
 
 
 def sketch_allows(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,13 +285,14 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches):
+        worker_state(None)
         for batch in slices(batches):
             if batch.num_rows:
                 n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 5))
                 yield batch.select([0, 1]).filter(pa.array(sketch_allows(n_a, a, n_b, b)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int = SHINGLE) -> DataFrame:
