@@ -44,7 +44,18 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = shared_folder(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes a table of `stored` that nothing reads any more: all that was made of it
+    is written."""
+    if df is not None:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of texts that a Python worker handles at a time, but for a single longer one.

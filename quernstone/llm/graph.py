@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import BROADCAST_ROWS, stored
+from quernstone.llm.common import BROADCAST_ROWS, discard, stored
 
 
 def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
@@ -32,8 +32,12 @@ def components(links: DataFrame) -> DataFrame:
         row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if row[0] == 0 or row == before:
             break
-        before = row
+        before, old = row, edges
         few = 2 * row[0] <= BROADCAST_ROWS
         edges = stored(_star(_star(edges, True, few), False, few), "components")
+        discard(old)
     roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    out = stored(out, "component-of")
+    discard(edges)
+    return out

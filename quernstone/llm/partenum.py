@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import append_columns, map_batches, only, raw_texts, slices, stored, worker_state
+from quernstone.llm.common import append_columns, discard, map_batches, only, raw_texts, slices, stored, worker_state
 from quernstone.llm.fastbytes import PowerTable, mixed, shingle_hashes
 from quernstone.llm.graph import components
 
@@ -49,6 +49,8 @@ SKETCH = HISTOGRAM + PARITIES
 BUCKET_SIGNATURES = 1_000_000
 #: Signatures after which a task hands its buckets on.
 CHUNK_SIGNATURES = 500_000
+#: Pairs that a task holds with their sketches at a time.
+PAIRS = 1 << 14
 #: Least signatures of a set by which others know that they have met it before.
 LEAST = 8
 
@@ -140,7 +142,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (len(a) + len(b) - shared)
 
 
-SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_high", T.LongType()), T.StructField("set_low", T.LongType()), T.StructField("sketch", T.BinaryType())]
+SETS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_high", T.LongType()), T.StructField("set_low", T.LongType())]
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
@@ -151,7 +153,7 @@ def sketch_of(hashes: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """docs without text: the size of each set, its 128-bit hash and its sketch."""
+    """docs without text: the size of each set and its 128-bit hash."""
 
     def make():
         import xxhash
@@ -159,11 +161,11 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
         table = PowerTable()
 
         def step(batch):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             for raw in raw_texts(batch):
                 h = shingle_hashes(raw, words, table)
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                for x, y in zip(out, (len(h), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), sketch_of(h))):
+                for x, y in zip(out, (len(h), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63))):
                     x.append(y)
             return out
 
@@ -172,6 +174,21 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return append_columns(docs, SETS, make, ("text",))
 
 
+def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """docs without text: the size of each set and its sketch."""
+
+    def make():
+        table = PowerTable()
+
+        def step(batch):
+            hashes = [shingle_hashes(raw, words, table) for raw in raw_texts(batch)]
+            return [[len(h) for h in hashes], [sketch_of(h) for h in hashes]]
+
+        return step
+
+    return append_columns(docs, [T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.BinaryType())], make, ("text",))
+
+
 BLOBS = "bucket int, ids binary, counts binary, signatures binary"
 
 
@@ -260,7 +277,7 @@ def shared_signatures(blobs: DataFrame) -> DataFrame:
                 ids.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(counts, np.uint32)))
                 signs.append(np.frombuffer(lower, np.uint32))
                 held += len(signs[-1])
-                if held >= 2 * BUCKET_SIGNATURES:
+                if held >= BUCKET_SIGNATURES:
                     yield merge()
                     held = 0
         if signs:
@@ -357,7 +374,7 @@ def block_pairs(groups: DataFrame, sets: DataFrame, block: int = 2000) -> DataFr
             row[: len(x)] = x
         other = np.where(lesser < 0, -2, lesser)  # what is not there is never in common
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        found, step = [], max(1, (1 << 16) // max(1, len(right)))
+        found, step = [], max(1, PAIRS // max(1, len(right)))
         for at in range(0, len(left), step):
             rows = left[at : at + step, None]
             open_ = component[rows] != component[right]
@@ -388,28 +405,29 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = stored(shingle_sets(docs, words), "shingle-sets")
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    alike = full.groupBy("n_shingles", "set_high", "set_low").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    alike = full.groupBy("n_shingles", "set_high", "set_low").agg(F.min("doc_id").alias("doc_id"))
     classes = stored(alike, "shingle-classes")
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(total / BUCKET_SIGNATURES))
     firsts = only(docs, classes.select("doc_id"))
-    groups = stored(shared_signatures(signature_buckets(firsts, buckets, words)).distinct(), "shared-signatures")
-    groups = stored(distinct_groups(groups), "signature-groups")
+    shared = stored(shared_signatures(signature_buckets(firsts, buckets, words)).distinct(), "shared-signatures")
+    groups = stored(distinct_groups(shared), "signature-groups")
+    discard(shared)
+    sketched = stored(sketches(only(docs, groups.select("doc_id").distinct()), words).dropDuplicates(["doc_id"]), "sketches")
 
     links, found, open_groups = None, None, groups
     for step in ("first", "last", "all"):
         if step == "all":
-            candidates = block_pairs(open_groups, classes)
+            candidates = block_pairs(open_groups, sketched)
         else:
-            candidates = possible(star_pairs(open_groups, step == "last"), classes)
+            candidates = possible(star_pairs(open_groups, step == "last"), sketched)
         candidates = stored(candidates, "candidates")
-        if candidates.isEmpty():
-            new = None
-        else:
+        if not candidates.isEmpty():
             new = stored(verified(candidates, firsts, words).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if new is not None:
             links = new if links is None else links.unionByName(new)
-            found = stored(components(links), "component-of")
+            old, found = found, components(links)
+            discard(old)
+        discard(candidates)
         if step != "all":
             known = groups.withColumn("component", F.col("doc_id"))
             if found is not None:
@@ -417,13 +435,19 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             # stars from one end have compared all of a group of two, from both ends of three
             shape = known.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
             split = shape.where(F.expr("low <> high") & (F.col("n") > (2 if step == "first" else 3))).select("signature")
-            open_groups = stored(known.join(split, "signature", "left_semi"), "open-groups")
+            old, open_groups = open_groups, stored(known.join(split, "signature", "left_semi"), "open-groups")
+            if old is not groups:
+                discard(old)
             if open_groups.isEmpty():
                 break
+    discard(sketched)
+    discard(groups)
+    if open_groups is not groups:
+        discard(open_groups)
 
     named = classes.select("n_shingles", "set_high", "set_low", F.col("doc_id").alias("first_id"))
     if found is not None:
         named = named.join(found.withColumnRenamed("node", "first_id"), "first_id", "left")
         named = named.withColumn("first_id", F.coalesce("component", "first_id")).drop("component")
-    out = sets.drop("sketch").join(named, ["n_shingles", "set_high", "set_low"], "left")
+    out = sets.join(named, ["n_shingles", "set_high", "set_low"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id"))).alias("component_id"))
