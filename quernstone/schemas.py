@@ -13,7 +13,16 @@ ROLES = ("subject", "target")
 #: Kind of entity to the table that holds it.
 ENTITY_TABLES = {"function": "functions", "basic_block": "basic_blocks", "string": "strings"}
 #: Types of events that the producers emit.
-EVENT_TYPES = tuple(f"observation.{x}" for x in ("function", "import", "call", "basic_block", "cfg_edge", "string", "string_ref", "instructions"))
+EVENT_TYPES = (
+    "observation.function",
+    "observation.import",
+    "observation.call",
+    "observation.basic_block",
+    "observation.cfg_edge",
+    "observation.string",
+    "observation.string_ref",
+    "observation.instructions",
+)
 
 _TYPES = {"id": T.LongType(), "n": T.IntegerType(), "text": T.StringType(), "flag": T.BooleanType(), "time": T.TimestampType(), "texts": T.ArrayType(T.StringType())}
 
