@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import Memory, map_batches, slices, stored, worker_state
+from quernstone.llm.common import BROADCAST_ROWS, Memory, map_batches, slices, stored, worker_state
 
 CAPACITY = 4096
 END = 1
-SALTS = 64
 #: Bins that the quick search may try beyond its first descent.
 QUICK_NODES = 3000
 #: Steps of the search's work: fillings looked at, branches cut, an eighth of the lengths listed.
@@ -40,6 +39,12 @@ HELD = 64
 Bin = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
 
+def salts_of(n: int) -> int:
+    """Over how many tasks n pieces of one length are spread: of 100 each up to 64, and
+    as many of 20,000 beyond."""
+    return min(-(-n // 100), max(64, -(-n // 20_000)))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -463,16 +468,16 @@ def slots_of(bins: list[tuple[Bin, int]]) -> np.ndarray:
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be a stored table: it is
     read for the histogram first and then for the numbers."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = stored(counts, "length-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # no more than capacity
     slots = slots_of(complete_bins(histogram, capacity))
     keys = (slots[:, 0] << 44) + slots[:, 1]
+    salts = pieces.sparkSession.createDataFrame([(x, salts_of(n)) for x, n in histogram.items()], f"length {dict(pieces.dtypes)['length']}, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    counts = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length-counts")
     by_length = Window.partitionBy("length").orderBy("salt")
     before = counts.select("length", "salt", (F.sum("n").over(by_length) - F.col("n")).alias("before"))
-    # at most capacity * SALTS rows
-    numbered = salted.join(F.broadcast(before), ["length", "salt"])
+    few = counts.count() <= BROADCAST_ROWS
+    numbered = salted.join(F.broadcast(before) if few else before, ["length", "salt"])
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = numbered.withColumn("number", F.col("before") + F.row_number().over(order) - 1).drop("before", "salt")
     kept = [f for f in pieces.schema]
@@ -487,7 +492,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return numbered.select(*[f.name for f in kept], "number").mapInArrow(run, schema)
+    return map_batches(numbered.select(*[f.name for f in kept], "number"), run, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
