@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.sources.shared import discard, shared_folder, stored  # noqa: F401 - the operators take them from here
+
 #: A side of a join is broadcast only after its rows have been counted, up to this.
 BROADCAST_ROWS = 1_000_000
 
@@ -22,42 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent the checkpoint folder of the Spark context is used.
-    A local session without either gets a local one; a cluster must name its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            context.setCheckpointDir("/tmp/quernstone-checkpoints")
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there."""
-    path = shared_folder(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Deletes a table of `stored` that nothing reads any more: all that was made of it
-    is written."""
-    if df is not None:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of texts that a Python worker handles at a time, but for a single longer one.
 SLICE_BYTES = 4 << 20
 
