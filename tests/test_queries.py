@@ -42,6 +42,16 @@ def test_sign_extended_keeps_large_supplier_keys_whole(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(found.fetchall())
 
 
+def test_narrow_task_reads_lines_once(spark, sf_dir, monkeypatch):
+    from quernstone.plans import retrieval_queries
+
+    plans, stored = [], retrieval_queries.stored
+    monkeypatch.setattr(retrieval_queries, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    queries, pool = retrieval_queries.narrow_task(spark, sf_dir, *retrieval_queries.retrieval.STRUCTURE)
+    assert sum(p.count("/lineitem.parquet") for p in plans) == 1
+    assert queries.count() and pool.count()
+
+
 @pytest.mark.parametrize("name", ["metrics_macro", "metrics_per_package", "package_table"])
 def test_reports_by_package_do_not_make_gold_pairs(spark, sf_dir, monkeypatch, name):
     from quernstone.operators import retrieval
