@@ -72,3 +72,16 @@ def test_nothing_outside_imports_the_training_operators():
     top = Path(catalogue.__file__).parents[1]
     outside = [p for p in top.rglob("*.py") if "llm" not in p.parts]
     assert outside and not any("quernstone.llm" in p.read_text() for p in outside)
+
+
+def counts_matches(spark, sf_dir, monkeypatch, name):
+    """The query equals its SQL without a matrix of all pairs and without gold pairs."""
+    from quernstone.operators import blocks, retrieval
+
+    monkeypatch.setattr(retrieval, "evaluate", None)
+    monkeypatch.setattr(blocks, "shared_weights", None)
+    test_query_equals_its_sql(spark, sf_dir, name)
+
+
+def test_macro_means_come_of_matches(spark, sf_dir, monkeypatch):
+    counts_matches(spark, sf_dir, monkeypatch, "metrics_macro")
