@@ -85,3 +85,7 @@ def counts_matches(spark, sf_dir, monkeypatch, name):
 
 def test_macro_means_come_of_matches(spark, sf_dir, monkeypatch):
     counts_matches(spark, sf_dir, monkeypatch, "metrics_macro")
+
+
+def test_package_table_comes_of_matches(spark, sf_dir, monkeypatch):
+    counts_matches(spark, sf_dir, monkeypatch, "package_table")
