@@ -89,3 +89,7 @@ def test_macro_means_come_of_matches(spark, sf_dir, monkeypatch):
 
 def test_package_table_comes_of_matches(spark, sf_dir, monkeypatch):
     counts_matches(spark, sf_dir, monkeypatch, "package_table")
+
+
+def test_metrics_of_packages_come_of_matches(spark, sf_dir, monkeypatch):
+    counts_matches(spark, sf_dir, monkeypatch, "metrics_per_package")
