@@ -93,3 +93,7 @@ def test_package_table_comes_of_matches(spark, sf_dir, monkeypatch):
 
 def test_metrics_of_packages_come_of_matches(spark, sf_dir, monkeypatch):
     counts_matches(spark, sf_dir, monkeypatch, "metrics_per_package")
+
+
+def test_bm25_metrics_come_of_matches_of_contents(spark, sf_dir, monkeypatch):
+    counts_matches(spark, sf_dir, monkeypatch, "retrieval_bm25_metrics")
