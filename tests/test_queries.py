@@ -97,3 +97,11 @@ def test_metrics_of_packages_come_of_matches(spark, sf_dir, monkeypatch):
 
 def test_bm25_metrics_come_of_matches_of_contents(spark, sf_dir, monkeypatch):
     counts_matches(spark, sf_dir, monkeypatch, "retrieval_bm25_metrics")
+
+
+def test_vector_metrics_do_not_make_gold_pairs(spark, sf_dir, monkeypatch):
+    from quernstone.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "rank_vector", None)
+    test_query_equals_its_sql(spark, sf_dir, "retrieval_vector_metrics")
+    test_query_equals_its_sql(spark, sf_dir, "score_vector")
