@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import BROADCAST_ROWS, Memory, map_batches, slices, stored, worker_state
+from quernstone.llm.common import BROADCAST_ROWS, Memory, give_back, map_batches, slices, stored, worker_state
 
 CAPACITY = 4096
 END = 1
@@ -52,7 +52,7 @@ def tokenizer_path() -> str:
 
 
 #: Stretches of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class TokenBytes:
@@ -155,6 +155,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
                     for x, y in zip(rows, (doc, n, a // 4, len(part) // 4, zlib.crc32(part), part)):
                         x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, out)], schema=out)
+            rows = []
+            give_back()  # what a slice took beside its memory is a third of a worker
 
     return map_batches(docs.select("doc_id", "text"), run, schema)
 

@@ -92,3 +92,17 @@ def test_packing_of_documents(spark, odd, none):
     total = sum(r["length"] for r in rows)
     assert len(by_sequence) <= total // capacity + 2
     assert packing.pack(none).count() == 0
+
+
+def test_workers_give_back_what_a_slice_took(spark, monkeypatch):
+    runs, given = [], []
+    monkeypatch.setattr(packing, "map_batches", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1), raising=False)
+    packing.token_pieces(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), packing.tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(["word " * 2_000_000, "x " * 10, None])], names=["doc_id", "text"])
+    pieces = [r for b in runs[0](iter([batch])) for r in b.to_pylist()]
+    assert len(given) == 2 and {r["doc_id"] for r in pieces} == {0, 1, 2}
+    held = packing.TokenBytes(packing.tokenizer_path()).memory
+    for i in range(12):
+        held.known([f"{i}-{k}" for k in range(50_000)], lambda new: new)
+    assert len(held.young) + len(held.old) <= 400_000
