@@ -105,3 +105,7 @@ def test_vector_metrics_do_not_make_gold_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(retrieval, "rank_vector", None)
     test_query_equals_its_sql(spark, sf_dir, "retrieval_vector_metrics")
     test_query_equals_its_sql(spark, sf_dir, "score_vector")
+
+
+def test_jaccard_metrics_come_of_counts(spark, sf_dir, monkeypatch):
+    counts_matches(spark, sf_dir, monkeypatch, "retrieval_jaccard_metrics")
