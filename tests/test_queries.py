@@ -109,3 +109,17 @@ def test_vector_metrics_do_not_make_gold_pairs(spark, sf_dir, monkeypatch):
 
 def test_jaccard_metrics_come_of_counts(spark, sf_dir, monkeypatch):
     counts_matches(spark, sf_dir, monkeypatch, "retrieval_jaccard_metrics")
+
+
+def scores_answers_once(spark, sf_dir, monkeypatch, name):
+    """The query equals its SQL, and the answers that are read twice are scored once."""
+    from quernstone.operators import blocks
+
+    plans, ranks = [], blocks.ranks_by_blocks
+    monkeypatch.setattr(blocks, "ranks_by_blocks", lambda left, right, answers, *a, **b: plans.append(answers._jdf.queryExecution().executedPlan().toString()) or ranks(left, right, answers, *a, **b))
+    test_query_equals_its_sql(spark, sf_dir, name)
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_package_table_scores_answers_once(spark, sf_dir, monkeypatch):
+    scores_answers_once(spark, sf_dir, monkeypatch, "package_table")
