@@ -123,3 +123,7 @@ def scores_answers_once(spark, sf_dir, monkeypatch, name):
 
 def test_package_table_scores_answers_once(spark, sf_dir, monkeypatch):
     scores_answers_once(spark, sf_dir, monkeypatch, "package_table")
+
+
+def test_metrics_of_packages_score_answers_once(spark, sf_dir, monkeypatch):
+    scores_answers_once(spark, sf_dir, monkeypatch, "metrics_per_package")
