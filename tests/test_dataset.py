@@ -115,3 +115,10 @@ def test_pairs_and_false_negatives(spark, rows):
     assert {tuple(r) for r in sampling.false_negatives(slots).collect()} == {(0, 0, 1), (0, 0, 2), (0, 2, 0)}
     same = spark.createDataFrame([(1, "p", "f", "n", "O0", "x"), (2, "p", "f", "n", "O1", "x"), (3, "p", "f", "n", "O2", "y")], "function_id long, package string, decl_file string, name string, opt_level string, content string")
     assert sampling.identical_share(same).first()["expected"] == pytest.approx(1 / 3)
+
+
+def test_eligible_rows_by_a_number_of_the_package_need_no_sort(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3] if i % 11 else None, i % 3 if i % 11 else None, str(i % 7 if i % 2 else i).encode()) for i in range(60)], "function_id long, package string, number long, content binary")
+    by_name, by_number = (sorted(map(tuple, dataset.eligible_rows(rows, group=g).select("function_id").collect())) for g in ("package", "number"))
+    assert by_name == by_number and 0 < len(by_name) < 60
+    assert "SortAggregate" not in dataset.eligible_rows(rows, group="number")._jdf.queryExecution().executedPlan().toString()
