@@ -1,11 +1,13 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import checks, store
+from quernstone.operators import checks, retrieval, store
+from quernstone.plans import retrieval_queries
 from quernstone.schemas import SCHEMA_VERSION, TABLES
-from quernstone.sources import migrations
+from quernstone.sources import migrations, shared
 from quernstone.sources.manifest import binary_paths, load_manifest
 from quernstone.sources.snapshots import Store, binary_hashes, chosen_sources, export_training
 
@@ -210,3 +212,40 @@ def test_code_version(tmp_path):
     from quernstone.operators import store
 
     assert store.code_version(str(tmp_path)) == "unknown"
+
+
+def shuffled(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+
+def shuffled_since(spark, before):
+    for _ in range(50):  # deleted beside the next work
+        if not shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    return shuffled(spark) - before
+
+
+def test_freed_shuffles_are_those_of_what_is_stored(spark):
+    kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).persist()
+    assert kept.count() == 7
+    before, rows = shuffled(spark), spark.range(3000).groupBy((F.col("id") % 500).alias("k")).agg(F.count("*").alias("m"))
+    with shared.shuffles_freed(spark):
+        out = shared.stored(rows.join(kept, "k"), "few")
+    assert not shuffled_since(spark, before) and spark.conf.get(shared.FREED, None) is None
+    assert {tuple(r) for r in out.collect()} == {(k, 6, 143 if k < 6 else 142) for k in range(7)} and kept.count() == 7
+    kept.unpersist()
+    with pytest.raises(Exception), shared.shuffles_freed(spark):
+        shared.stored(spark.range(3).select(F.raise_error(F.lit("no"))), "none")
+    assert spark.conf.get(shared.FREED, None) is None
+
+
+def test_a_retrieval_task_and_its_classes_leave_no_shuffle_on_disk(spark, sf_dir):
+    before = shuffled(spark)
+    queries, pool = retrieval_queries.narrow_task(spark, sf_dir, "imports")
+    assert not shuffled_since(spark, before)
+    scores = retrieval.score_jaccard(queries, pool)
+    assert not shuffled_since(spark, before)
+    count = scores.count()
+    assert count and scores.count() == count  # what is returned keeps its own
